@@ -1,0 +1,23 @@
+"""The registered queries of the engine, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.where("l_discount >= 0.05").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")).orderBy(F.desc("qty"))
+
+
+def queries() -> dict[str, Query]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
