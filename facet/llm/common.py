@@ -54,6 +54,15 @@ def attach_group(df: DataFrame, keys: list[str], by: list[str], partial: list[Co
     return d.join(p.select(*keys, "_salt").join(t, keys), [*keys, "_salt"]).drop("_salt")
 
 
+def salted_join(df: DataFrame, side: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``df`` joined with ``side``, which has one row for each key; a key may hold any share of ``df``.
+
+    ``side`` is repeated for just those (key, salt) that occur.  ``df`` is read twice.
+    """
+    d = salted(df, [F.col(c) for c in by])
+    return d.join(d.select(*keys, "_salt").distinct().join(side, keys), [*keys, "_salt"]).drop("_salt")
+
+
 def salted_rank(df: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
     """Rows of ``df`` with ``name``: a gapless rank from 0 within their group, in the order (salt, by)."""
     d = salted(df, [F.col(c) for c in by])

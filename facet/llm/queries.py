@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import identify, train
 from .mixing import mix_sources
 from .sharding import shard_documents
+from .simhash import near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,5 +40,13 @@ def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_minimax_sharding, op8_exact_dedup, op9_entropy_mixing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs.where(fold(4) != 2)))
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_simhash_dedup, op5_minimax_sharding, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
+)}
 ORACLE_SQL: dict[str, str] = oracle.SQL

@@ -3,7 +3,8 @@
 Documents with equal texts (by SHA-256; a null text counts as empty) form atomic groups, ordered
 by that hash.  The smallest shard capacity for which the ordered groups fit, whole and in order,
 into the given number of shards is found by binary search with a greedy check, and the groups are
-cut there.
+cut under it, each cut moved back from where the shard is full towards its equal share as far as
+the later shards have room.
 
 The order is a table of prefix sums that never leaves the cluster.  The search sees it through a
 bounded set of known prefix sums: with the gaps between them it brackets the capacity from both
@@ -16,7 +17,7 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,21 @@ class _Search:
                 high = mid
         return low
 
+    def level(self, capacity: int) -> list[int]:
+        """Cuts that keep to the capacity, each as near to its equal share as that allows."""
+        cuts = self.cuts(capacity, False)
+        last = len(cuts)
+        least = [self.total] * last  # the rest fits into the shards after this one only from here on
+        for k in range(last - 2, -1, -1):
+            least[k] = self.ends[bisect_left(self.ends, least[k + 1] - capacity)]
+        at = 0
+        for k in range(last - 1):
+            share = (k + 1) * self.total // last
+            i = bisect_right(self.ends, share)
+            near = min(self.ends[max(0, i - 1) : i + 1], key=lambda e: abs(e - share))
+            at = cuts[k] = min(max(near, least[k], at), self.cut(at + capacity, False))
+        return cuts
+
     def gaps(self, low: int, high: int) -> list[tuple[int, int]]:
         """Vague gaps, as (start, end) without the ends, that the cuts for capacities low to high may fall into."""
         a, z = 0, 0
@@ -117,7 +133,7 @@ def minimax_cuts(prefix: DataFrame, total: int, shards: int, least: int, points:
         low, high = search.capacity(True), search.capacity(False)
         gaps = search.gaps(low, high)
         if low == high or not gaps:
-            return high, search.cuts(high, False)
+            return high, search.level(high)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", points: int = 65536) -> DataFrame:
