@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import oracle, sentencepiece, toxicity
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify, train
@@ -27,11 +27,24 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(fold(3) != 1), table(spark, sf_dir, "labels").where(fold(3) != 1))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
+    decoded = sentencepiece.decode(encoded, keep=("doc_id", "text", "ids"), text="decoded")
+    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +60,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_dedup, op5_minimax_sharding, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
+    op1_simhash_dedup, op4_toxicity, op5_minimax_sharding, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
 )}
 ORACLE_SQL: dict[str, str] = oracle.SQL
