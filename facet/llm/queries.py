@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle, sentencepiece, toxicity
+from . import oracle, sentencepiece, toxicity, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify, train
@@ -27,6 +27,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs.where(fold(3) != 1), table(spark, sf_dir, "labels").where(fold(3) != 1))
@@ -60,6 +64,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_dedup, op4_toxicity, op5_minimax_sharding, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
+    op1_simhash_dedup, op3_warc_derivatives, op4_toxicity, op5_minimax_sharding, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
 )}
 ORACLE_SQL: dict[str, str] = oracle.SQL
