@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify, train
 from .mixing import mix_sources
+from .quality import judge
 from .sharding import shard_documents
 from .simhash import near_dedup
 
@@ -43,6 +44,11 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
     decoded = sentencepiece.decode(encoded, keep=("doc_id", "text", "ids"), text="decoded")
@@ -64,6 +70,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_dedup, op3_warc_derivatives, op4_toxicity, op5_minimax_sharding, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
+    op1_simhash_dedup, op3_warc_derivatives, op4_toxicity, op5_minimax_sharding, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
 )}
 ORACLE_SQL: dict[str, str] = oracle.SQL
