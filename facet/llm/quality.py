@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from .common import SPACE, literal_doubles
 
 BUCKETS = 1 << 14
+PRIOR = 16_384.0
 TRUSTED = 20_000  # labelled documents used at most
 THRESHOLD = -0.05  # mean log ratio an n-gram
 MIN_WORDS = 20
@@ -87,7 +88,10 @@ def grams(text: Column) -> Column:
 
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trusted: int) -> list[float]:
-    """Log ratio of each bucket: trusted against raw, both smoothed by one count a bucket."""
+    """Log ratio of each bucket: trusted against raw.
+
+    The trusted multinomial starts from PRIOR n-grams spread as in the raw corpus, so that what a small
+    sample happens not to hold counts for little."""
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("i")).distinct()
     good = good.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(64)))  # rank in parts: no single task sees all labels
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("i", F.lit(1)), "i"))
@@ -95,14 +99,12 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.join(F.broadcast(good), "i", "left").select(F.explode(grams(F.col("t"))).alias("b"), F.coalesce("good", F.lit(False)).cast("int").alias("y"))
     counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # BUCKETS rows at most
-    raw, own = [1.0] * BUCKETS, [1.0] * BUCKETS
+    raw, own = [1.0] * BUCKETS, [0] * BUCKETS
     for r in counts:
         raw[r["b"]] += r["n"]
-        own[r["b"]] += r["y"]
-    if sum(own) == BUCKETS:
-        return [0.0] * BUCKETS
-    a, z = math.log(sum(own)), math.log(sum(raw))
-    return [math.log(y) - a - math.log(n) + z for y, n in zip(own, raw)]
+        own[r["b"]] = r["y"]
+    z, y = sum(raw), sum(own)
+    return [math.log((k + PRIOR * n / z) / (y + PRIOR) / (n / z)) if y else 0.0 for k, n in zip(own, raw)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
