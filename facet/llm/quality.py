@@ -32,7 +32,7 @@ from .common import SPACE, literal_doubles
 BUCKETS = 1 << 14
 PRIOR = 16_384.0
 TRUSTED = 20_000  # labelled documents used at most
-THRESHOLD = -0.05  # mean log ratio an n-gram
+THRESHOLD = -0.25  # mean log ratio an n-gram
 MIN_WORDS = 20
 WINDOW = 8
 
