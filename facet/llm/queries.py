@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .quality import judge
 from .sharding import shard_documents
 from .simhash import near_dedup
+from .suffix import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))
 
@@ -70,6 +75,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_dedup, op3_warc_derivatives, op4_toxicity, op5_minimax_sharding, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
+    op1_simhash_dedup, op2_suffix_dedup, op3_warc_derivatives, op4_toxicity, op5_minimax_sharding, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_entropy_mixing, op10_language_id,
 )}
 ORACLE_SQL: dict[str, str] = oracle.SQL
