@@ -1,14 +1,75 @@
-"""A training-corpus pipeline over ``documents``: each stage applies one operator to all that its predecessor kept."""
+"""A training-corpus pipeline over ``documents``: each stage applies one operator to all that its predecessor kept.
+
+Stages but the last return the columns of their input.  After the second stage no two rows have equal texts,
+so (doc_id, hash of the text) names a row.  Rows whose decision is joined back keep their null ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from facet.llm import langid, sentencepiece
+from facet.llm.common import SPACE
+from facet.llm.exact_dedup import exact_dedup
+from facet.llm.mixing import mix_sources
+from facet.llm.simhash import near_dedup
+
+
+def _row_key() -> Column:
+    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text some language model accepts; models learn from rows with a language."""
+    model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    out = langid.identify(docs.withColumnsRenamed({"lang_pred": "lang_pred_in", "score": "score_in", "rejected": "rejected_in"}), model, keep=[_renamed(c) for c in docs.columns])
+    return out.where(~F.col("rejected")).drop("lang_pred", "score", "rejected").toDF(*docs.columns)
+
+
+def _renamed(c: str) -> str:
+    return f"{c}_in" if c in ("lang_pred", "score", "rejected") else c
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the smallest id stays."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", " ")
+    rows = docs.withColumn("_own", F.sha2(norm.cast("binary"), 256))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)  # rows that repeat id and text
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document whose id names the class stays."""
+    kept = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times (none, one, two) as the mixture takes it."""
+    taken = mix_sources(docs.withColumn("_k", _row_key()), id_col="_k").where("copies > 0").select("_k", "copies")
+    rows = docs.withColumn("_k", _row_key()).join(taken, "_k")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    out = sentencepiece.encode(docs, keep=("doc_id", "lang", "source"))
+    return out.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("exact", exact),
+    ("near", near),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
-#: Language models, near-duplicate components and tokens are beyond SQL: tested against brute force.
+#: Language models, near-duplicate classes and tokens are beyond SQL: tested against brute force.
 ORACLE_SQL: str | None = None
 
 
