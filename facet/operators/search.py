@@ -259,12 +259,11 @@ def bm25(df: DataFrame, fields: Sequence[tuple[str, float]], query: str, analyze
             if c.field in (None, f):
                 tf[i, j] = f"__f{i}_{j}"
                 base = base.withColumn(tf[i, j], _frequency(F.col(f"__t{i}"), c))
-    counted = [F.count(F.when(F.col(f), 1)).alias(a) for f, a in []]
     stats = []
     for i, f in enumerate(names):
-        stats += [F.count(F.col(f)).alias(f"__N{i}"), F.avg(F.when(F.col(f).isNotNull(), F.col(f"__n{i}"))).alias(f"__avg{i}")]
+        stats += [F.count(F.col(f)).alias(f"__docs{i}"), F.avg(F.when(F.col(f).isNotNull(), F.col(f"__n{i}"))).alias(f"__avg{i}")]
     stats += [F.sum((F.col(c) > 0).cast("long")).alias(f"__df{i}_{j}") for (i, j), c in tf.items()]
-    totals = base.agg(*counted, *stats)
+    totals = base.agg(*stats)
     hit = lambda j: reduce(lambda a, b: a | b, [F.col(tf[i, j]) > 0 for i in range(len(names)) if (i, j) in tf], F.lit(False))
     optional = [j for j, c in enumerate(clauses) if c.must is None]
     required = [j for j, c in enumerate(clauses) if c.must is True]
@@ -280,7 +279,7 @@ def bm25(df: DataFrame, fields: Sequence[tuple[str, float]], query: str, analyze
             if c.must is False or (i, j) not in tf:
                 continue
             n, f, size = F.col(f"__df{i}_{j}"), F.col(tf[i, j]).cast("double"), F.col(f"__n{i}")
-            idf = F.log(1 + (F.col(f"__N{i}") - n + 0.5) / (n + 0.5))
+            idf = F.log(1 + (F.col(f"__docs{i}") - n + 0.5) / (n + 0.5))
             s = s + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / F.col(f"__avg{i}")))).otherwise(0.0)
         parts.append(s * float(boost))
     if tie is not None and len(parts) > 1:
