@@ -36,7 +36,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import durable
 
@@ -430,12 +429,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = rows.select("ord", "t").mapInPandas(_run_rows, "h bigint, d bigint, ord bigint, at bigint")
     sifted = durable(made.repartition("h").mapInPandas(_sift, "h bigint, ord bigint, at bigint"))
     kind = F.col("at").bitwiseAND(3)
-    texts = rows.select("ord", "id", "t")
+    # Both joins below read the same columns of the same rows, so that the texts are shuffled once.
+    texts = rows.where(F.col("ord").isNotNull()).select("ord", "id", "t")
     wanted = sifted.where(kind != _ALL).groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places"))  # at most a document's own
-    pieces = texts.join(wanted, "ord").select("ord", "t", "places").mapInPandas(_fetched, "h bigint, ord bigint, start bigint, b binary")
+    pieces = texts.join(wanted, "ord").select("ord", "id", "t", "places").mapInPandas(_fetched, "h bigint, ord bigint, start bigint, b binary")
     found = pieces.repartition("h").sortWithinPartitions("h").mapInPandas(_sorted_runs, "ord bigint, start bigint, n bigint")
     whole = sifted.where(kind == _ALL).select("ord", F.shiftright("at", 16).alias("start"), F.shiftright("at", 2).bitwiseAND(0x3FFF).alias("n"))
     spans = whole.unionByName(found).groupBy("ord").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    out = texts.join(spans, "ord", "left").select("id", "t", "places")
+    out = texts.join(spans, "ord", "left").select("ord", "id", "t", "places")
     out = out.mapInPandas(_kept, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
