@@ -54,8 +54,8 @@ class Analyzer:
         elif form == "ngram":
             low, high = self.tokenizer[1:]
             n = F.length(c)
-            sizes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)]
-            t = F.concat(*sizes)
+            pieces = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, F.lit(k)))
+            t = F.concat(*[F.when(n >= k, pieces(k)).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)])
         else:
             raise ValueError(f"unknown tokenizer {form}")
         if "stopwords" in own:
@@ -231,10 +231,10 @@ def read_query(text: str, analyzer: Analyzer) -> list[Clause]:
 def _frequency(terms: Column, clause: Clause) -> Column:
     if len(clause.terms) == 1:
         return F.size(F.filter(terms, lambda x: x == clause.terms[0]))
-    n = len(clause.terms)
-    starts = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    want = F.array(*[F.lit(t) for t in clause.terms])
-    return F.size(F.filter(starts, lambda i: F.slice(terms, i, F.lit(n)) == want))
+    # the terms are bound once, not computed anew at each place
+    follows = lambda t, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + j) == w, F.lit(False)) for j, w in enumerate(clause.terms)])
+    found = F.transform(F.array(terms), lambda t: F.size(F.filter(F.transform(t, lambda x, i: i), lambda i: follows(t, i))))
+    return F.get(found, F.lit(0))
 
 
 def text_of(df: DataFrame, field: str) -> Column:
