@@ -44,9 +44,9 @@ GRAM = 24
 PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])  # a perfect difference set: every residue is a difference
 _RUN = 4096  # windows of a run at most
-_SLICE = 1 << 20  # windows looked at together
-_BLOCK = 1 << 22  # bytes of runs sorted together
-_PASS = 1 << 21  # windows sorted together
+_SLICE = 1 << 18  # windows looked at together: some 100 bytes of work space each
+_BLOCK = 1 << 21  # bytes of runs sorted together
+_PASS = 1 << 20  # windows sorted together
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = 22  # bits of a place in a slice
 _ALL, _SORT, _HOT = 1, 2, 3
@@ -147,8 +147,8 @@ def _pack(start: np.ndarray, count: np.ndarray, flags: np.ndarray) -> np.ndarray
 
 def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for lo in range(0, len(b), 8192):
-            part = b.iloc[lo : lo + 8192]
+        for lo in range(0, len(b), 2048):
+            part = b.iloc[lo : lo + 2048]
             bucket, digest, own, start, count, twice = runs([x or b"" for x in part["t"]], part["ord"].to_numpy(np.int64))
             by = np.lexsort((start, own, digest, bucket))
             later = np.zeros(len(by), bool)
@@ -320,7 +320,7 @@ def _fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     size += count * LENGTH
                 else:
                     rows.append((int(x["h"]), o, start, bytes(t[start : start + count - 1 + LENGTH])))
-                if size > 1 << 24:
+                if size > 1 << 22:
                     rows += [(xxhash.xxh3_64_intdigest(w[:GRAM] + w[-GRAM:]) >> 1, *p, w) for w, p in hot.items()]
                     hot.clear()
                     yield pd.DataFrame(rows, columns=names)
