@@ -704,6 +704,8 @@ class Planner:
         out = Rows(df, columns, refs, scalar, keys, number, lone)
         for path, alias in q.fetch:
             self._fetch(out, path, alias)
+        if q.fetch and number and not keys:
+            out.df = out.df.orderBy(quoted(number))  # joins do not keep an order
         return out
 
     @staticmethod
