@@ -100,16 +100,17 @@ class _Search:
                 merged.append((a, z))
         return merged
 
-    def learn(self, gaps: list[tuple[int, int]], rows: list[tuple[int, int]]) -> None:
-        """rows: (largest end of a cell, number of ends in it); together they cover all ends inside the gaps."""
+    def learn(self, gaps: list[tuple[int, int]], rows: list[tuple[int, int, int]]) -> None:
+        """rows: (least end, largest end, number of ends) of each cell; together they hold all ends inside the gaps."""
         at = dict(zip(self.ends, self.vague))
-        for _, z in gaps:
-            at[z] = at[z] and False
+        known = self.ends
         for a, z in gaps:
-            for e in [e for e in self.ends if a < e < z]:
+            for e in known[bisect_right(known, a) : bisect_right(known, z)]:
                 at[e] = False
-        for end, n in rows:
-            at[end] = n > 1
+        for low, high, n in rows:
+            inside = set(known[bisect_left(known, low) : bisect_right(known, high)]) | {low, high}
+            for e in inside:  # a cell may hold ends that were known before; what is unknown may lie between any two
+                at[e] = n > len(inside) and e != low
         pairs = sorted(at.items())
         self.ends, self.vague = [p[0] for p in pairs], [p[1] for p in pairs]
 
@@ -128,8 +129,8 @@ def minimax_cuts(prefix: DataFrame, total: int, shards: int, least: int, points:
             here = (F.col("end") > a) & (F.col("end") < z)
             cell = F.when(here, F.lit(base) + F.floor((F.col("end") - a) / width)).otherwise(cell)
             inside, base = inside | here, base + cells + 1
-        rows = prefix.where(inside).groupBy(cell.alias("c")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n")).collect()
-        search.learn(gaps, [(r["e"], r["n"]) for r in rows])
+        rows = prefix.where(inside).groupBy(cell.alias("c")).agg(F.min("end").alias("a"), F.max("end").alias("z"), F.count(F.lit(1)).alias("n")).collect()
+        search.learn(gaps, [(r["a"], r["z"], r["n"]) for r in rows])
         low, high = search.capacity(True), search.capacity(False)
         gaps = search.gaps(low, high)
         if low == high or not gaps:
