@@ -73,6 +73,21 @@ def salted_rank(df: DataFrame, keys: list[str], by: list[str], name: str) -> Dat
     return d.join(p, [*keys, "_salt"]).withColumn(name, F.col("_before") + F.row_number().over(own) - 1).drop("_before", "_salt")
 
 
+def bounded_sample(df: DataFrame, group: str, by: list[str], size: int) -> DataFrame:
+    """``size`` rows of each group (a string column with few values, not null): those with the least hash of ``by``.
+
+    A cut of the hashes, set from the groups' counts to let about three times as many rows pass, keeps what
+    reaches the one task that ranks a group independent of the input's size.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(group).agg(F.count(F.lit(1))).collect()}
+    whole = 1 << 30
+    cuts = {g: whole if n <= 4 * size else int(3 * size / n * whole) + 1 for g, n in counts.items()}
+    cut = F.element_at(F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>"), F.col(group))
+    near = df.withColumn("_turn", F.pmod(F.xxhash64(*by), F.lit(whole))).where(F.col("_turn") < cut)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_turn", *by))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_turn")
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table held in the plan itself as one JSON literal: no Python process, no RDD."""
     data = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

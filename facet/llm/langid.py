@@ -29,13 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 SAMPLE = 400
 ORDER = 4
 UNKNOWN = "und"
 _TURN = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _letters: np.ndarray | None = None
 
 
@@ -245,8 +246,7 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on ``sample`` documents a language (those with the least hash of their id), each whole."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "t"))
-    got = rows.withColumn("r", rank).where(F.col("r") <= sample).orderBy("l", "r").select("l", "t").collect()
+    got = bounded_sample(rows, "l", ["i", "t"], sample).orderBy("l", "_rank").select("l", "t").collect()
     texts: dict[str, list[str]] = {}
     for r in got:
         texts.setdefault(r["l"], []).append(r["t"])
