@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -26,12 +27,27 @@ class Index:
     options: tuple[tuple[str, Any], ...] = ()
 
 
+Source = DataFrame | Callable[[], DataFrame]
+
+
+class _Lazy:
+    """Tables given as functions are opened when first asked for."""
+
+    source: Source
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self.source, DataFrame):
+            object.__setattr__(self, "source", self.source())
+        return self.source
+
+
 @dataclass(frozen=True)
-class Collection:
+class Collection(_Lazy):
     """``df`` has a string column ``id`` (``collection:key``); ``refs`` maps paths to the collections they refer to."""
 
     name: str
-    df: DataFrame
+    source: Source
     refs: dict[tuple[str, ...], frozenset[str]] = field(default_factory=dict)
     mode: str | None = None  # None: schemaless; STRICT or FLEXIBLE
     fields: tuple[dict, ...] = ()
@@ -43,11 +59,11 @@ class Collection:
 
 
 @dataclass(frozen=True)
-class Edges:
+class Edges(_Lazy):
     """``df`` has id, from, to and the edges' own fields."""
 
     label: str
-    df: DataFrame
+    source: Source
     directed: bool = True
     single: bool = True
     on_delete: str = "cascade"  # cascade, restrict, none
@@ -61,13 +77,13 @@ class Catalog:
     analyzers: dict[str, Analyzer] = field(default_factory=lambda: {"standard": STANDARD})
     versions: dict[str, int] = field(default_factory=dict)
 
-    def put(self, name: str, df: DataFrame, refs: dict[str, str] | None = None, indexes: list[Index] | None = None, **more: Any) -> Catalog:
+    def put(self, name: str, df: Source, refs: dict[str, str] | None = None, indexes: list[Index] | None = None, **more: Any) -> Catalog:
         """Register a collection; ``refs`` maps dotted paths to collection names."""
         known = {tuple(k.split(".")): frozenset([v]) for k, v in (refs or {}).items()}
         self.collections[name] = Collection(name, df, known, indexes=tuple(indexes or ()), **more)
         return self
 
-    def put_edges(self, label: str, df: DataFrame, **more: Any) -> Catalog:
+    def put_edges(self, label: str, df: Source, **more: Any) -> Catalog:
         self.edges[label] = Edges(label, df, **more)
         return self
 
@@ -82,17 +98,21 @@ class Catalog:
         return self.collections[name]
 
     def change(self, name: str, **parts: Any) -> None:
-        self.collections[name] = dataclasses.replace(self.need(name), **parts)
+        self.collections[name] = dataclasses.replace(self.need(name), **_renamed(parts))
         self.versions[name] = self.versions.get(name, 0) + 1
 
     def change_edges(self, label: str, **parts: Any) -> None:
-        self.edges[label] = dataclasses.replace(self.edges[label], **parts)
+        self.edges[label] = dataclasses.replace(self.edges[label], **_renamed(parts))
         self.versions["->" + label] = self.versions.get("->" + label, 0) + 1
 
     def copy(self) -> Catalog:
         return Catalog(self.spark, dict(self.collections), dict(self.edges), dict(self.analyzers), dict(self.versions))
 
 
+def _renamed(parts: dict[str, Any]) -> dict[str, Any]:
+    return {"source" if k == "df" else k: v for k, v in parts.items()}
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, for tables that writes build step by step."""
     sc = df.sparkSession.sparkContext

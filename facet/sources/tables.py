@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..engine import Engine
 
 _KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
-    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
 }
 _REFS = {
     "nation": {"region": ("region", "n_regionkey")},
@@ -33,12 +35,49 @@ def ref(collection: str, key: str):
 
 def collection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as documents: ``id`` and a column for each reference, computed in the scan."""
-    df = keyed(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name, *_KEYS[name])
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "lineitem":  # line numbers repeat within an order
+        df = keyed(df.withColumn("__row", F.hex(F.xxhash64(*df.columns))), name, *_KEYS[name], "__row").drop("__row")
+    else:
+        df = keyed(df, name, *_KEYS[name])
     for column, (to, key) in _REFS.get(name, {}).items():
         df = df.withColumn(column, ref(to, key))
     return df
 
 
+def _placed(read):
+    return read("orders").select(ref("placed", "o_orderkey").alias("id"), ref("customer", "o_custkey").alias("from"), ref("orders", "o_orderkey").alias("to"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+
+
+def _contains(read):
+    lines = read("lineitem")
+    key = F.concat_ws("-", ref("contains", "l_orderkey"), F.col("l_linenumber").cast("string"), F.hex(F.xxhash64(*lines.columns)))  # line numbers repeat within an order
+    props = [F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")]
+    return lines.select(key.alias("id"), ref("orders", "l_orderkey").alias("from"), ref("part", "l_partkey").alias("to"), *props)
+
+
+def _supplied_by(read):
+    pairs = read("lineitem").select(ref("part", "l_partkey").alias("from"), ref("supplier", "l_suppkey").alias("to")).distinct()
+    return pairs.select(F.concat(F.lit("supplied_by:"), F.col("from"), F.lit("/"), F.col("to")).alias("id"), "from", "to")
+
+
+def _lives_in(read):
+    return read("customer").select(ref("lives_in", "c_custkey").alias("id"), ref("customer", "c_custkey").alias("from"), ref("nation", "c_nationkey").alias("to"))
+
+
+def _within(read):
+    return read("nation").select(ref("within", "n_nationkey").alias("id"), ref("nation", "n_nationkey").alias("from"), ref("region", "n_regionkey").alias("to"))
+
+
+def _borders(read):
+    """A ring with chords over the nations: paths with cycles."""
+    n = read("nation").select("n_nationkey", F.explode(F.array(F.lit(1), F.lit(7))).alias("d"))
+    return n.select(F.concat_ws("-", ref("borders", "n_nationkey"), F.col("d").cast("string")).alias("id"), ref("nation", "n_nationkey").alias("from"), F.concat(F.lit("nation:"), ((F.col("n_nationkey") + F.col("d")) % 25).cast("string")).alias("to"), F.col("d").alias("weight"))
+
+
+_EDGES = {"placed": _placed, "contains": _contains, "supplied_by": _supplied_by, "lives_in": _lives_in, "within": _within, "borders": _borders}
+
+
 def open_tables(spark: SparkSession, sf_dir: str, metric: str = "COSINE") -> Engine:
     """An engine over all tables of a folder; nothing is read before a query runs."""
     c = Catalog(spark)
@@ -46,17 +85,9 @@ def open_tables(spark: SparkSession, sf_dir: str, metric: str = "COSINE") -> Eng
         indexes = _INDEXES.get(name)
         if name == "embeddings":
             indexes = [Index("idx_embeddings", ("embedding",), "hnsw", (("dimension", 64), ("metric", metric)))]
-        c.put(name, collection(spark, sf_dir, name), {k: to for k, (to, _) in _REFS.get(name, {}).items()}, indexes)
-    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    c.put_edges("placed", read("orders").select(ref("placed", "o_orderkey").alias("id"), ref("customer", "o_custkey").alias("from"), ref("orders", "o_orderkey").alias("to"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price")))
-    lines = read("lineitem")
-    c.put_edges("contains", lines.select(F.concat_ws("-", ref("contains", "l_orderkey"), *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), ref("orders", "l_orderkey").alias("from"), ref("part", "l_partkey").alias("to"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")), single=False)
-    c.put_edges("supplied_by", lines.select(ref("part", "l_partkey").alias("from"), ref("supplier", "l_suppkey").alias("to")).distinct().withColumn("id", F.concat(F.lit("supplied_by:"), F.col("from"), F.lit("/"), F.col("to"))).select("id", "from", "to"))
-    c.put_edges("lives_in", read("customer").select(ref("lives_in", "c_custkey").alias("id"), ref("customer", "c_custkey").alias("from"), ref("nation", "c_nationkey").alias("to")))
-    c.put_edges("within", read("nation").select(ref("within", "n_nationkey").alias("id"), ref("nation", "n_nationkey").alias("from"), ref("region", "n_regionkey").alias("to")))
-    # a ring with chords over nations, for paths with cycles
-    n = read("nation").select("n_nationkey").crossJoin(F.broadcast(spark.createDataFrame([(1,), (7,)], "d int")))
-    c.put_edges("borders", n.select(F.concat_ws("-", ref("borders", "n_nationkey"), F.col("d").cast("string")).alias("id"), ref("nation", "n_nationkey").alias("from"), F.concat(F.lit("nation:"), ((F.col("n_nationkey") + F.col("d")) % 25).cast("string")).alias("to"), F.col("d").alias("weight")))
+        c.put(name, partial(collection, spark, sf_dir, name), {k: to for k, (to, _) in _REFS.get(name, {}).items()}, indexes)
+    for label, make in _EDGES.items():
+        c.put_edges(label, partial(make, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")), single=label != "contains")
     return Engine(spark, c)
 
 
