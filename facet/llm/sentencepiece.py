@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000  # segments a process
+REMEMBERED = 200_000  # segments a process
 _SHORT = 48
 
 
@@ -209,22 +209,32 @@ class Vocabulary:
         return out[1:] if out[:1] == " " else out
 
 
+_loaded: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once a process."""
+    if path not in _loaded:
+        _loaded[path] = Vocabulary.load(path)
+    return _loaded[path]
+
+
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, ids: str = "ids") -> DataFrame:
     """The columns ``keep`` and ``ids`` (array<int>), for every row."""
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     d = docs.select(*kept, F.col(text_col).cast("string").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(model)
+        v = vocabulary(model)
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for lo in range(0, b.num_rows, 512):
-                part = texts.slice(lo, 512).to_pylist()
+            for lo in range(0, b.num_rows, 256):
+                part = texts.slice(lo, 256).to_pylist()
                 rows = [None if t is None else v.encode(t) for t in part]
                 sizes = [0 if r is None else len(r) for r in rows]
                 offsets = pa.array([None if r is None else o for r, o in zip(rows, np.cumsum([0, *sizes[:-1]]).tolist())] + [sum(sizes)], pa.int32())
                 values = pa.array(np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)]), pa.int32())
-                own = [b.column(i).slice(lo, 512) for i in range(b.num_columns - 1)]
+                own = [b.column(i).slice(lo, 256) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, values)], [*b.schema.names[:-1], "ids"])
 
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "ids array<int>"])
@@ -237,12 +247,12 @@ def decode(tokens: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("do
     d = tokens.select(*kept, F.col(ids_col).alias("_i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(model)
+        v = vocabulary(model)
         for b in batches:
             last = b.column(b.num_columns - 1)
-            for lo in range(0, b.num_rows, 512):
-                out = pa.array([None if x is None else v.decode(x) for x in last.slice(lo, 512).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, 512) for i in range(b.num_columns - 1)), out], [*b.schema.names[:-1], "t"])
+            for lo in range(0, b.num_rows, 256):
+                out = pa.array([None if x is None else v.decode(x) for x in last.slice(lo, 256).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, 256) for i in range(b.num_columns - 1)), out], [*b.schema.names[:-1], "t"])
 
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "t string"])
     return d.mapInArrow(run, fields).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("t").alias(text))
