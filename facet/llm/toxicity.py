@@ -24,7 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 SAMPLE = 3000  # labelled documents a class
 BUCKETS = 1 << 16
@@ -208,8 +209,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.0
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on ``sample`` labelled documents a class: those with the least hashes of their ids, each whole."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    y = y.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= sample)
-    chosen = F.broadcast(y.select("i", "y"))  # at most 2 * sample rows
+    y = bounded_sample(y.select("i", F.col("y").cast("string").alias("y")), "y", ["i"], sample)
+    chosen = F.broadcast(y.select("i", F.col("y").cast("int").alias("y")))  # at most 2 * sample rows
     got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(chosen, "i").select("i", "t", "y").collect()
     got.sort(key=lambda r: (str(r["i"]), r["t"] or ""))
     return fit([r["t"] for r in got], np.array([r["y"] for r in got], int))
