@@ -53,6 +53,7 @@ class Collection(_Lazy):
     fields: tuple[dict, ...] = ()
     indexes: tuple[Index, ...] = ()
     attributes: tuple[tuple[str, str], ...] = ()
+    key: str | None = None  # the column that alone makes the id, where the scan can filter on it
 
     def index(self, form: str, fields: tuple[str, ...] | None = None) -> Index | None:
         return next((i for i in self.indexes if i.form == form and (fields is None or set(fields) <= set(i.fields))), None)

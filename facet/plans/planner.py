@@ -352,7 +352,7 @@ class Planner:
     def _whole(self, rows: Rows, s: Scope) -> str:
         """A column with all of some rows, as an array (a value that every row sees)."""
         name = fresh("all")
-        s.df = s.df.crossJoin(F.broadcast(self._array(rows, [], name)))  # one row; its size is that of the value asked for
+        s.df = s.df.crossJoin(self._array(rows, [], name))  # one row, however large: no hint to broadcast it
         return name
 
     def _array(self, rows: Rows, keys: list[str], name: str) -> DataFrame:
@@ -524,7 +524,11 @@ class Planner:
 
     def _collection(self, n: Node) -> Scope:
         c = self.catalog.collection(n.collection)
-        df = c.df if n.key is None else c.df.where(F.col("id") == f"{n.collection}:{n.key}")
+        df = c.df
+        if n.key is not None:
+            df = df.where(F.col("id") == f"{n.collection}:{n.key}")
+            if c.key is not None:  # reaches the scan, as the computed id does not
+                df = df.where(F.col(c.key) == F.lit(n.key).try_cast(df.schema[c.key].dataType))
         s = Scope(df, dict(c.refs), collection=n.collection)
         if not n.path and not n.posts:
             return s

@@ -85,7 +85,7 @@ def open_tables(spark: SparkSession, sf_dir: str, metric: str = "COSINE") -> Eng
         indexes = _INDEXES.get(name)
         if name == "embeddings":
             indexes = [Index("idx_embeddings", ("embedding",), "hnsw", (("dimension", 64), ("metric", metric)))]
-        c.put(name, partial(collection, spark, sf_dir, name), {k: to for k, (to, _) in _REFS.get(name, {}).items()}, indexes)
+        c.put(name, partial(collection, spark, sf_dir, name), {k: to for k, (to, _) in _REFS.get(name, {}).items()}, indexes, key=_KEYS[name][0] if len(_KEYS[name]) == 1 else None)
     for label, make in _EDGES.items():
         c.put_edges(label, partial(make, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")), single=label != "contains")
     return Engine(spark, c)

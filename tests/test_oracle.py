@@ -39,3 +39,5 @@ def test_pushdown(spark):
     plan = open_tables(spark, DATA).collect("EXPLAIN SELECT VALUE l_quantity FROM lineitem WHERE l_discount > 0.05")[0]["plan"]
     assert "GreaterThan(l_discount,0.05)" in plan
     assert "ReadSchema: struct<l_quantity:double,l_discount:double>" in plan or "ReadSchema: struct<l_discount:double,l_quantity:double>" in plan
+    plan = open_tables(spark, DATA).collect("EXPLAIN SELECT VALUE o_totalprice FROM orders:7")[0]["plan"]
+    assert "EqualTo(o_orderkey,7)" in plan
