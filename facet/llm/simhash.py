@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return d.mapInPandas(run, f"id {d.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-# ---- the plan of the join -------------------------------------------------------------------
+# ---- the plan of the join
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:

@@ -53,7 +53,7 @@ _ALL, _SORT, _HOT = 1, 2, 3
 _CROWD = 20_000  # different runs of a bucket from which its windows travel one by one
 
 
-# ---- 1. runs of windows ---------------------------------------------------------------------
+# ---- 1. runs of windows
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"h": h[by], "ord": own[by], "at": at[by] & ~np.int64(3) | np.where(sort, np.where(crowd, _HOT, _SORT), _ALL)})
 
 
-# ---- 3. sorting a block ---------------------------------------------------------------------
+# ---- 3. sorting a block
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -378,7 +378,7 @@ def _sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _sort_block(pd.concat(held))
 
 
-# ---- 4. spans -------------------------------------------------------------------------------
+# ---- 4. spans
 
 
 def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -128,7 +128,7 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in root)
 
 
-# ---- repeated substrings --------------------------------------------------------------------
+# ---- repeated substrings
 
 
 def brute_removed(texts):

@@ -15,7 +15,7 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, lang, 0.5, "p", "x", 3) for i, t, lang in rows], "doc_id long, text string, lang string, score double, lang_pred string, t string, n_words int")
 
 
-# ---- language -------------------------------------------------------------------------------
+# ---- language
 
 WORDS = {"en": "the of and to in that is was for with thing house water".split(), "fr": "le la des une est pour dans que éléve maison eau où".split(), "de": "der die das und nicht straße über können haus wasser".split()}
 
@@ -72,7 +72,7 @@ def test_identify(spark):
     assert langid.identify(d.limit(0), none).count() == 0
 
 
-# ---- toxicity -------------------------------------------------------------------------------
+# ---- toxicity
 
 
 def test_toxicity(spark):
@@ -109,7 +109,7 @@ def test_scores_do_not_depend_on_batches(monkeypatch):
     assert np.allclose(m.scores(texts), np.concatenate([m.scores([t]) for t in texts]))
 
 
-# ---- quality --------------------------------------------------------------------------------
+# ---- quality
 
 
 def counts(t):
@@ -155,7 +155,7 @@ def test_number_of_words(spark):
     assert {r["t"]: r["n"] for r in d.collect()} == {t: len((t or "").split()) for t in texts}
 
 
-# ---- sentencepiece --------------------------------------------------------------------------
+# ---- sentencepiece
 
 
 @pytest.fixture(scope="module")
@@ -268,7 +268,7 @@ def test_encode_and_decode_tables(spark):
     assert encode(d.limit(0)).count() == 0
 
 
-# ---- WARC -----------------------------------------------------------------------------------
+# ---- WARC
 
 PAGE = """<!DOCTYPE html><html><head><title>A &amp; B</title><meta name="k" content="v"><style>p{}</style><script>var x = "</p>";</script></head>
 <body><nav><a href="/one?x=1&amp;y=2">One</a> <a href='two#f'>Two <b>bold</b></a></nav><!-- hidden <p>no</p> --><p>First&nbsp;para <i>it</i>alic</p>
