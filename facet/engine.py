@@ -49,7 +49,7 @@ class Engine:
         self.policies: dict[str, Node] = {}
         self._before: Catalog | None = None
 
-    # ---- running --------------------------------------------------------------------------
+    # ---- running
 
     def query(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
         """The rows of the batch's last statement."""
@@ -117,7 +117,7 @@ class Engine:
             self.catalog.versions[k] = changed.versions.get(k, 0)
         self.catalog.analyzers = changed.analyzers
 
-    # ---- statements -----------------------------------------------------------------------
+    # ---- statements
 
     @property
     def planner(self) -> Planner:
@@ -238,7 +238,7 @@ class Engine:
             raise LanguageError("no transaction is open")
         self.catalog, self._before = self._before, None
 
-    # ---- definitions ----------------------------------------------------------------------
+    # ---- definitions
 
     def _no_transaction(self) -> None:
         if self._before is not None:
@@ -311,7 +311,7 @@ class Engine:
             rows.append((name, c.mode or "SCHEMALESS", [f"{k} {t}" for k, t in types.items() if k != "id"], [f"{i.name} {i.form.upper()}({', '.join(i.fields)})" for i in c.indexes]))
         return self.spark.createDataFrame(rows, "name string, mode string, fields array<string>, indexes array<string>")
 
-    # ---- writing --------------------------------------------------------------------------
+    # ---- writing
 
     def _constant(self, n: Node) -> Any:
         if n.kind == "reference":
@@ -505,7 +505,7 @@ class Engine:
         self._store(n.collection, df.where(~F.col("__hit")).drop("__hit"))
         return gone.drop(HAS)
 
-    # ---- edges ----------------------------------------------------------------------------
+    # ---- edges
 
     def define_edges(self, label: str, directed: bool = True, single: bool = True, on_delete: str = "cascade") -> None:
         self.catalog.put_edges(label, self.spark.createDataFrame([], "id string, from string, to string, created_at timestamp"), directed=directed, single=single, on_delete=on_delete)
@@ -566,7 +566,7 @@ class Engine:
         self.catalog.change_edges(n.label, df=settled(kind.df.where(~gone)))
         return self.spark.range(1).select(F.lit(count).cast("long").alias("deleted"))
 
-    # ---- users and policies ---------------------------------------------------------------
+    # ---- users and policies
 
     @staticmethod
     def _hashed(password: str, salt: bytes | None = None) -> tuple[bytes, bytes]:

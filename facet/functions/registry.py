@@ -70,7 +70,7 @@ def _wide(e: E) -> E:
     return E(e.cast(LONG), LONG) if V.is_int(e.type) else E(e.cast(DOUBLE), DOUBLE) if V.is_float(e.type) or V.is_null(e.type) else e
 
 
-# ---- math -----------------------------------------------------------------------------------
+# ---- math
 
 
 @register("math::abs", 1)
@@ -143,7 +143,7 @@ _pick("min", F.least)
 _pick("max", F.greatest)
 
 
-# ---- string ---------------------------------------------------------------------------------
+# ---- string
 
 
 def _text(name: str, f, out: T.DataType = STRING) -> None:
@@ -211,7 +211,7 @@ def _substring(s: E, start: E, size: E | None = None) -> E:
     return E(F.when(known, got), STRING)
 
 
-# ---- array ----------------------------------------------------------------------------------
+# ---- array
 
 
 @register("array::length", 1)
@@ -262,7 +262,7 @@ def _distinct(a: E) -> E:
     return a if V.is_null(a.type) or V.is_null(a.type.elementType) else E(F.array_distinct(a.col), a.type)
 
 
-# ---- type -----------------------------------------------------------------------------------
+# ---- type
 
 
 def _scalar_text(x: E):
@@ -373,7 +373,7 @@ def _first(*args: E) -> E:
     return E(F.coalesce(*[V.widened(a, t) for a in args]), t)
 
 
-# ---- time, durations, bytes -----------------------------------------------------------------
+# ---- time, durations, bytes
 
 
 @register("time::now", 0)
@@ -439,7 +439,7 @@ def _decode(x: E) -> E:
     return E(F.to_binary(x.cast(STRING), F.lit("base64")), V.BINARY)
 
 
-# ---- search ---------------------------------------------------------------------------------
+# ---- search
 
 
 @register("vector::distance", 0)

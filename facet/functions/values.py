@@ -148,7 +148,7 @@ def obj(items: list[tuple[str, E]]) -> E:
     return E(F.struct(*[e.col.alias(k) for k, e in last.items()]), T.StructType([T.StructField(k, e.type) for k, e in last.items()]))
 
 
-# ---- truth ----------------------------------------------------------------------------------
+# ---- truth
 
 
 def truthy(e: E) -> Column:
@@ -191,7 +191,7 @@ def negate(e: E) -> E:
     return E(~e.cast(BOOL), BOOL)
 
 
-# ---- comparison -----------------------------------------------------------------------------
+# ---- comparison
 
 
 def _comparable(a: T.DataType, b: T.DataType, ordering: bool) -> bool:
@@ -244,7 +244,7 @@ def inside(e: E, arr: E, no: bool) -> E:
     return E(F.when(~unknown, ~hit if no else hit), BOOL)
 
 
-# ---- arithmetic -----------------------------------------------------------------------------
+# ---- arithmetic
 
 
 def arithmetic(op: str, a: E, b: E) -> E:
@@ -301,7 +301,7 @@ def minus(e: E) -> E:
     return E(-e.cast(LONG), LONG) if is_int(e.type) else E(-e.col, e.type)
 
 
-# ---- access ---------------------------------------------------------------------------------
+# ---- access
 
 
 def field(e: E, name: str) -> E:

@@ -141,7 +141,7 @@ def document_id(collection: str, given: Any) -> str:
     return f"{collection}:{key}"
 
 
-# ---- checks ---------------------------------------------------------------------------------
+# ---- checks
 
 
 def fits(types: list[tuple], t: T.DataType) -> bool:

@@ -109,7 +109,7 @@ def folded(c: Column) -> Column:
 STANDARD = Analyzer()
 
 
-# ---- an English stemmer (Porter, 1980) ------------------------------------------------------
+# ---- an English stemmer (Porter, 1980)
 
 _V = "[aeiouy]"
 _MEASURE = re.compile(r"[aeiou]+[^aeiou]+")
@@ -192,7 +192,7 @@ def _stem_all():
     return run
 
 
-# ---- BM25 -----------------------------------------------------------------------------------
+# ---- BM25
 
 
 @dataclass(frozen=True)
@@ -290,7 +290,7 @@ def bm25(df: DataFrame, fields: Sequence[tuple[str, float]], query: str, analyze
     return own.withColumn(score, total).select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{score}`"))
 
 
-# ---- vectors --------------------------------------------------------------------------------
+# ---- vectors
 
 
 def distance(a: Column, b: Column, metric: str = "COSINE") -> Column:
@@ -316,7 +316,7 @@ def nearest(df: DataFrame, field: str, vector: Sequence[float] | Column, k: int,
     return d.orderBy(F.col(f"`{out}`").asc(), *([F.col(key).asc()] if key in df.columns else [])).limit(k)
 
 
-# ---- fusion ---------------------------------------------------------------------------------
+# ---- fusion
 
 
 def rrf(lists: Sequence[tuple[DataFrame, Sequence[Column]]], limit: int, k: float = 60, key: str = "id") -> DataFrame:

@@ -65,7 +65,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- scans and filters ----------------------------------------------------------------------
+# ---- scans and filters
 
 _O = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 q("scan_all", "SELECT r_regionkey, r_name FROM region", "SELECT r_regionkey, r_name FROM region")
@@ -86,7 +86,7 @@ q("filter_truthy", "SELECT doc_id, toxic FROM labels WHERE toxic", "SELECT doc_i
 q("filter_cross_kind", "SELECT n_name FROM nation WHERE n_name != 5", "SELECT n_name FROM nation")
 q("field_vs_field", "SELECT s_suppkey FROM supplier WHERE s_suppkey < s_acctbal AND s_nationkey != s_suppkey", "SELECT s_suppkey FROM supplier WHERE s_suppkey < s_acctbal AND s_nationkey <> s_suppkey")
 
-# ---- projections ----------------------------------------------------------------------------
+# ---- projections
 
 q("project_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity + 1 AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge, round(-l_quantity + 1, 2) AS m FROM lineitem", digits=7)
 q("project_int_division", "SELECT o_orderkey, o_orderkey / 7 AS d, (0 - o_orderkey) / 7 AS e FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d, (0 - o_orderkey) // 7 AS e FROM orders")
@@ -102,7 +102,7 @@ q("field_expansion", "SELECT nation.{n_name, region: n_regionkey} FROM supplier"
 q("string_plus", "SELECT n_nationkey, n_name + '/' + 'x' AS v FROM nation", "SELECT n_nationkey, n_name || '/x' AS v FROM nation")
 q("datetime_minus", "SELECT o_orderkey, duration::secs(o_orderdate - d'1992-01-01') AS s FROM orders", "SELECT o_orderkey, abs(epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01'))::BIGINT AS s FROM orders")
 
-# ---- order, limit, distinct, value ----------------------------------------------------------
+# ---- order, limit, distinct, value
 
 q("order_multi", "SELECT c_custkey, c_nationkey FROM customer ORDER c_nationkey DESC, c_custkey ASC LIMIT 50", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 50")
 q("order_expr", "SELECT o_orderkey FROM orders ORDER o_totalprice * -1, o_orderkey LIMIT 20", "SELECT o_orderkey FROM orders ORDER BY -o_totalprice, o_orderkey LIMIT 20")
@@ -114,7 +114,7 @@ q("distinct_multi", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
 q("select_value", "SELECT VALUE n_name FROM nation", "SELECT n_name AS value FROM nation")
 q("select_distinct_value", "SELECT DISTINCT VALUE n_regionkey FROM nation", "SELECT DISTINCT n_regionkey AS value FROM nation")
 
-# ---- aggregates -----------------------------------------------------------------------------
+# ---- aggregates
 
 q("agg_count", "SELECT COUNT(*) AS n FROM lineitem", "SELECT count(*) AS n FROM lineitem")
 q("agg_count_field", "SELECT COUNT(lang) AS n, COUNT(nothing) AS z FROM documents", "SELECT count(lang) AS n, 0::BIGINT AS z FROM documents")
@@ -136,7 +136,7 @@ q("group_order_agg", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP o_custke
 q("group_post_expr", "SELECT string::lower(o_orderpriority) AS p, SUM(o_totalprice) / COUNT(*) AS a, {n: COUNT(*)}.n AS n FROM orders GROUP o_orderpriority", "SELECT lower(o_orderpriority) AS p, round(sum(o_totalprice) / count(*), 2) AS a, count(*) AS n FROM orders GROUP BY o_orderpriority", digits=2)
 q("group_null_key", "SELECT document.lang AS lang, COUNT(*) AS n FROM labels GROUP document.lang", "SELECT lang, count(*) AS n FROM labels LEFT JOIN documents USING (doc_id) GROUP BY 1")
 
-# ---- sources --------------------------------------------------------------------------------
+# ---- sources
 
 q("range_source", "SELECT VALUE $value * $value FROM 1..20", "SELECT i * i AS value FROM range(1, 21) t(i)")
 q("range_empty", "SELECT VALUE $value FROM 5..2", "SELECT 1::BIGINT AS value WHERE false")
@@ -151,7 +151,7 @@ q("no_from", "SELECT 1 + 2 AS a, 'x' AS b, 7 / 2 AS c, 7.0 / 2 AS d", "SELECT 3:
 q("batch_last", "LET a = 2; ; SELECT VALUE $value + $a FROM [1, 2, 3]", "SELECT * FROM (VALUES (3::BIGINT), (4), (5)) t(value)")
 q("control_flow", "FOR $i IN 1..10 DO IF $i = 3 THEN CONTINUE END; IF $i > 5 THEN BREAK END; $i * $i END", "SELECT * FROM (VALUES (1::BIGINT), (4), (16), (25)) t(value)")
 
-# ---- join-like constructs -------------------------------------------------------------------
+# ---- join-like constructs
 
 q("deref_one", "SELECT c_custkey, nation.n_name AS nation FROM customer", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 q("deref_chain", "SELECT o_orderkey, customer.nation.region.r_name AS region FROM orders WHERE customer.c_mktsegment = 'BUILDING'", "SELECT o_orderkey, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'")
@@ -173,7 +173,7 @@ q("nested_parent", "SELECT r_name, (SELECT VALUE SUM(n) FROM (SELECT n_nationkey
 q("scalar_subquery_index", "SELECT n_name, (SELECT VALUE MAX(c_acctbal) FROM customer)[0] AS m FROM nation", "SELECT n_name, (SELECT round(max(c_acctbal), 4) FROM customer) AS m FROM nation")
 q("parent_source", "SELECT vec_id, array::length((SELECT VALUE $value FROM $parent.embedding WHERE $value > 0)) AS n FROM embeddings WHERE vec_id < 50", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings WHERE vec_id < 50")
 
-# ---- graph ----------------------------------------------------------------------------------
+# ---- graph
 
 _WALK = """
     WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + d) % 25 AS b FROM nation, (VALUES (1), (7)) t(d)),
@@ -204,7 +204,7 @@ def list_out_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.list_edges(e.catalog.edges["placed"].df, "customer:5", limit=5).select("to")
 
 
-# ---- search ---------------------------------------------------------------------------------
+# ---- search
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
@@ -271,7 +271,7 @@ _LISTS = "LET a = (SELECT doc_id FROM documents WHERE text @@ 'idiot stupid' LIM
 q("rrf_hybrid", f"{_LISTS} SELECT doc_id, _rrf_score AS score FROM search::rrf([$a, $b], 15)", _rrf_sql(60, 15), digits=6)
 q("rrf_custom_k", f"{_LISTS} SELECT doc_id, _rrf_score AS score FROM search::rrf([$a, $b], 8, 10)", _rrf_sql(10, 8), digits=6)
 
-# ---- functions ------------------------------------------------------------------------------
+# ---- functions
 
 _FN = {
     "math_abs": ("customer", "c_custkey", "math::abs(c_acctbal)", "abs(c_acctbal)"),
@@ -346,7 +346,7 @@ for _name, (_t, _k, _e, _s) in _FN.items():
     _real = _name in ("math_abs", "math_sqrt", "math_pow", "math_exp", "math_log", "math_max", "math_sin", "math_cos", "math_tan", "type_to_float", "type_to_decimal")
     q("fn_" + _name, f"SELECT {_k}, {_e} AS v FROM {_t}", f"SELECT {_k}, {f'round({_s}, 4)' if _real else _s} AS v FROM {_t}")
 
-# ---- writing, as table transformations -------------------------------------------------------
+# ---- writing, as table transformations
 
 
 @direct("relate_cartesian", "SELECT 'region:' || r_regionkey AS \"from\", 'nation:' || n_nationkey AS \"to\", 1.5::DOUBLE AS weight FROM region, nation WHERE n_nationkey < 5")
@@ -418,7 +418,7 @@ def transaction_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT COUNT(*) AS n FROM region")
 
 
-# ---- the flagship ---------------------------------------------------------------------------
+# ---- the flagship
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ class Planner:
         self.spark = catalog.spark
         self.variables = variables if variables is not None else {}
 
-    # ---- expressions ----------------------------------------------------------------------
+    # ---- expressions
 
     def compile(self, n: Node, s: Scope) -> E:
         """A prepared expression (see ``prepare``) as a column."""
@@ -249,7 +249,7 @@ class Planner:
                 return E(c.isNotNull() & F.lit(name.endswith("reference")), V.BOOL)
         return registry.call(name, args)
 
-    # ---- preparing ------------------------------------------------------------------------
+    # ---- preparing
 
     def prepare(self, nodes: list[Node], s: Scope) -> list[Node]:
         """Bring what expressions need from elsewhere into the rows of ``s``; returns the expressions over those."""
@@ -398,7 +398,7 @@ class Planner:
         s.df = s.df.withColumn(name, F.coalesce(F.col(name), empty))
         return Node("column", name=name)
 
-    # ---- traversal ------------------------------------------------------------------------
+    # ---- traversal
 
     def _edges(self, step: Node) -> DataFrame | None:
         labels = sorted(self.catalog.edges) if step.label == "*" else [step.label]
@@ -494,7 +494,7 @@ class Planner:
         items = [("id", E(F.col("id"), V.STRING))] + [(a, self.compile(n, s)) for (a, _), n in zip(fields, nodes)]
         return s.df.select("start", V.obj(items).col.alias("item"))
 
-    # ---- sources --------------------------------------------------------------------------
+    # ---- sources
 
     def source(self, n: Node | None, given: DataFrame | None, parents: dict, outer: Scope | None) -> Scope:
         """The rows of FROM; ``given`` has the correlated values, which each row carries on."""
@@ -613,7 +613,7 @@ class Planner:
         got = rows.df.select(quoted(rows.columns[0])).collect()
         return python(got[0][0]) if got else None
 
-    # ---- select ---------------------------------------------------------------------------
+    # ---- select
 
     def select(self, q: Node, given: DataFrame | None = None, parents: dict | None = None, outer: Scope | None = None) -> Rows:
         """Plan a SELECT; with ``given``, once for each of its rows (the correlated values, in ``parents``)."""
@@ -863,7 +863,7 @@ class Planner:
                 lone = [None] * len(done)
         return new, done, sorts, lone
 
-    # ---- fetch ----------------------------------------------------------------------------
+    # ---- fetch
 
     def _fetch(self, rows: Rows, path: list[str], alias: str | None) -> None:
         """Replace references along a path by their documents (or put them beside, under an alias)."""

@@ -17,9 +17,9 @@ def people(spark):
     e = Engine(spark)
     e.execute("""
         DEFINE COLLECTION users; DEFINE COLLECTION orders;
-        INSERT INTO users {id: 'alice', name: 'alice', age: 30}, {id: 'bob', name: 'bob', age: 25}, {id: 'carol', name: 'carol', age: 35};
-        INSERT INTO orders {id: 'o1', user_name: 'alice', amount: 100, status: 'active'}, {id: 'o2', user_name: 'alice', amount: 200, status: 'inactive'},
-            {id: 'o3', user_name: 'bob', amount: 50, status: 'active'}, {id: 'o4', user_name: 'dave', amount: 300, status: 'active'}
+        INSERT INTO users {id: 'ann', name: 'ann', age: 30}, {id: 'ben', name: 'ben', age: 25}, {id: 'cleo', name: 'cleo', age: 35};
+        INSERT INTO orders {id: 'o1', user_name: 'ann', amount: 100, status: 'active'}, {id: 'o2', user_name: 'ann', amount: 200, status: 'inactive'},
+            {id: 'o3', user_name: 'ben', amount: 50, status: 'active'}, {id: 'o4', user_name: 'dan', amount: 300, status: 'active'}
     """)
     return e
 
@@ -29,12 +29,12 @@ def values(e, text, *names):
 
 
 def test_rows_carry_their_id(people):
-    assert people.collect("SELECT name FROM users WHERE age > 30") == [{"id": "users:carol", "name": "carol"}]
+    assert people.collect("SELECT name FROM users WHERE age > 30") == [{"id": "users:cleo", "name": "cleo"}]
 
 
 def test_aggregates(people):
     (r,) = people.collect("SELECT COUNT(*), SUM(age), AVG(age) AS a, MIN(name) AS m, COUNT(DISTINCT age) AS d FROM users")
-    assert (r["count(*)"], r["sum(age)"], float(r["a"]), r["m"], r["d"]) == (3, Decimal(90), 30.0, "alice", 3)
+    assert (r["count(*)"], r["sum(age)"], float(r["a"]), r["m"], r["d"]) == (3, Decimal(90), 30.0, "ann", 3)
 
 
 def test_group_rules(people):
@@ -46,14 +46,14 @@ def test_group_rules(people):
 
 def test_correlated_subqueries(people):
     got = values(people, "SELECT name, (SELECT COUNT(*) AS n, SUM(amount) AS s FROM orders WHERE user_name = $parent.name)[0] AS o FROM users ORDER name", "name", "o")
-    assert [(n, o["n"], o["s"]) for n, o in got] == [("alice", 2, 300), ("bob", 1, 50), ("carol", 0, None)]
+    assert [(n, o["n"], o["s"]) for n, o in got] == [("ann", 2, 300), ("ben", 1, 50), ("cleo", 0, None)]
     got = values(people, "SELECT name, (SELECT VALUE amount FROM orders WHERE user_name = $parent.name AND amount > $parent.age ORDER amount DESC) AS a FROM users ORDER name", "name", "a")
-    assert got == [("alice", [200, 100]), ("bob", [50]), ("carol", [])]
+    assert got == [("ann", [200, 100]), ("ben", [50]), ("cleo", [])]
 
 
 def test_semi_and_anti(people):
-    assert values(people, "SELECT name FROM users WHERE name IN (SELECT user_name FROM orders) ORDER name", "name") == [("alice",), ("bob",)]
-    assert values(people, "SELECT name FROM users WHERE name NOT IN (SELECT user_name FROM orders)", "name") == [("carol",)]
+    assert values(people, "SELECT name FROM users WHERE name IN (SELECT user_name FROM orders) ORDER name", "name") == [("ann",), ("ben",)]
+    assert values(people, "SELECT name FROM users WHERE name NOT IN (SELECT user_name FROM orders)", "name") == [("cleo",)]
     assert people.collect("SELECT name FROM users WHERE name NOT IN (SELECT VALUE nothing FROM orders)") == []
 
 

@@ -13,11 +13,11 @@ from facet.operators.search import Analyzer
 def social(spark):
     e = Engine(spark)
     e.execute("""DEFINE COLLECTION user; DEFINE COLLECTION post;
-        INSERT INTO user {id: 'alice', name: 'Alice', age: 30}, {id: 'bob', name: 'Bob', age: 25}, {id: 'carol', name: 'Carol', age: 28};
+        INSERT INTO user {id: 'ann', name: 'Ann', years: 51}, {id: 'ben', name: 'Ben', years: 44}, {id: 'cleo', name: 'Cleo', years: 39};
         INSERT INTO post {id: 'p1', title: 'One'}, {id: 'p2', title: 'Two'};
-        RELATE user:alice->follows->user:bob SET since = 2024; RELATE user:alice->follows->user:carol SET since = 2023;
-        RELATE user:bob->follows->user:carol SET since = 2024; RELATE user:carol->follows->user:alice SET since = 2022;
-        RELATE user:alice->wrote->post:p1; RELATE user:bob->wrote->post:p2; RELATE [user:alice, user:carol]->likes->post:p2""")
+        RELATE user:ann->follows->user:ben SET since = 2024; RELATE user:ann->follows->user:cleo SET since = 2023;
+        RELATE user:ben->follows->user:cleo SET since = 2024; RELATE user:cleo->follows->user:ann SET since = 2022;
+        RELATE user:ann->wrote->post:p1; RELATE user:ben->wrote->post:p2; RELATE [user:ann, user:cleo]->likes->post:p2""")
     return e
 
 
@@ -26,24 +26,24 @@ def walk(e, text):
 
 
 def test_hops(social):
-    assert walk(social, "SELECT ->follows->user AS x FROM user") == {"alice": ["bob", "carol"], "bob": ["carol"], "carol": ["alice"]}
-    assert walk(social, "SELECT <-follows<-user AS x FROM user") == {"alice": ["carol"], "bob": ["alice"], "carol": ["alice", "bob"]}
-    assert walk(social, "SELECT <->follows<->user AS x FROM user:bob") == {"bob": ["alice", "carol"]}
-    assert walk(social, "SELECT ->(follows WHERE since > 2023)->user AS x FROM user:alice") == {"alice": ["bob"]}
+    assert walk(social, "SELECT ->follows->user AS x FROM user") == {"ann": ["ben", "cleo"], "ben": ["cleo"], "cleo": ["ann"]}
+    assert walk(social, "SELECT <-follows<-user AS x FROM user") == {"ann": ["cleo"], "ben": ["ann"], "cleo": ["ann", "ben"]}
+    assert walk(social, "SELECT <->follows<->user AS x FROM user:ben") == {"ben": ["ann", "cleo"]}
+    assert walk(social, "SELECT ->(follows WHERE since > 2023)->user AS x FROM user:ann") == {"ann": ["ben"]}
 
 
 def test_two_hops_leave_out_what_one_hop_reaches(social):
-    assert walk(social, "SELECT ->follows->user->follows->user AS x FROM user") == {"alice": [], "bob": ["alice"], "carol": ["bob"]}
-    assert walk(social, "SELECT ->follows{2}->user AS x FROM user:carol") == {"carol": ["bob"]}
-    assert walk(social, "SELECT ->follows{..}->user AS x FROM user:carol") == {"carol": ["alice", "bob"]}
-    assert walk(social, "SELECT ->follows{2 ALL}->user AS x FROM user:alice") == {"alice": ["alice", "carol"]}
+    assert walk(social, "SELECT ->follows->user->follows->user AS x FROM user") == {"ann": [], "ben": ["ann"], "cleo": ["ben"]}
+    assert walk(social, "SELECT ->follows{2}->user AS x FROM user:cleo") == {"cleo": ["ben"]}
+    assert walk(social, "SELECT ->follows{..}->user AS x FROM user:cleo") == {"cleo": ["ann", "ben"]}
+    assert walk(social, "SELECT ->follows{2 ALL}->user AS x FROM user:ann") == {"ann": ["ann", "cleo"]}
 
 
 def test_fields_and_expressions(social):
-    (r,) = social.collect("SELECT ->follows.{since, who: to.name} AS x FROM user:alice")
-    assert sorted((x["since"], x["who"]) for x in r["x"]) == [(2023, "Carol"), (2024, "Bob")]
-    assert [r["name"] for r in social.collect("SELECT name FROM user WHERE array::length(->likes) > 0 ORDER name")] == ["Alice", "Carol"]
-    (r,) = social.collect("SELECT ->follows->user->wrote->post.{title} AS x FROM user:carol")
+    (r,) = social.collect("SELECT ->follows.{since, who: to.name} AS x FROM user:ann")
+    assert sorted((x["since"], x["who"]) for x in r["x"]) == [(2023, "Cleo"), (2024, "Ben")]
+    assert [r["name"] for r in social.collect("SELECT name FROM user WHERE array::length(->likes) > 0 ORDER name")] == ["Ann", "Cleo"]
+    (r,) = social.collect("SELECT ->follows->user->wrote->post.{title} AS x FROM user:cleo")
     assert [x["title"] for x in r["x"]] == ["One"]
     with pytest.raises(LanguageError):
         social.query("SELECT COUNT(->follows) FROM user")
