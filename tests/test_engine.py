@@ -205,3 +205,17 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["k"], r["n"], int(r["s"])) for r in spark.table("watched").collect()) == [("a", 2, 8), ("b", 1, 5)]
+
+
+def test_json(e):
+    from facet.sources.encoding import plain, typed, untyped
+
+    (row,) = e.collect("SELECT 9223372036854775807 AS big, 123.45dec AS price, d'2024-01-15T10:30:00Z' AS at, 1h30m AS ttl, b'SGVsbG8=' AS payload, user:x AS owner, [1, 2] AS list, {a: 1.5} AS o, null AS n")
+    t = typed(row, frozenset(["owner"]))
+    assert {k: (v["$type"], v["value"]) for k, v in t.items() if isinstance(v, dict) and "$type" in v} == {
+        "big": ("int64", "9223372036854775807"), "price": ("decimal", "123.45"), "at": ("datetime", "2024-01-15T10:30:00+00:00"),
+        "ttl": ("duration", "5400000000000"), "payload": ("bytes", "SGVsbG8="), "owner": ("reference", "user:x"),
+    }
+    back = untyped(t)
+    assert back["big"] == row["big"] and back["payload"] == row["payload"] and back["list"] == [1, 2] and back["o"] == {"a": 1.5} and back["n"] is None
+    assert plain(row)["ttl"] == {"_type": "duration", "nanos": 5_400_000_000_000} and plain(row)["price"] == 123.45
