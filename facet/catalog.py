@@ -115,10 +115,15 @@ def _renamed(parts: dict[str, Any]) -> dict[str, Any]:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, for tables that writes build step by step."""
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that all executors share.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a session on one machine (tests) gets a
+    temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="facet-checkpoint-"))
     return df.checkpoint(eager=True)
 
