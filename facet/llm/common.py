@@ -8,30 +8,22 @@ which a key has at most ``SALTS``, are combined per key.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..catalog import settled
+
 SALTS = 64
 #: A regular-expression class of the white space that separates words (Java and RE2 agree on it).
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests on one
-    machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="facet-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` with a reliable checkpoint in the folder all executors share."""
+    return settled(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
