@@ -7,7 +7,7 @@ smoothed share of toxic documents among those that have it.  A misspelling never
 n-grams, and so most of its vector, with the word it is made from.
 
 A document's score pools its words' logits: a logistic model, fitted on sampled documents whose words
-were not counted, takes the highest and the second highest logit and the log of the number of words.
+were not counted, takes the highest and the second highest logit, the logs of how many words are warm and of how many there are.
 Scoring covers every whole text.
 
 Defined results: null and empty texts score what a document without words scores; without labelled
@@ -30,7 +30,7 @@ from .common import bounded_sample
 SAMPLE = 3000  # labelled documents a class
 BUCKETS = 1 << 16
 DIM = 8
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 _CHUNK = 1 << 20
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -66,12 +66,12 @@ def grams(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Model:
     weight: np.ndarray  # by bucket: the embedding's share of the logit
     bias: float
-    pool: np.ndarray  # of 1, highest, second highest logit, log(1 + words)
+    pool: np.ndarray  # weights of what ``pooled`` gives
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """By text: highest and second highest logit of its words, and log(1 + words)."""
+        """By text: 1, highest and second highest logit of its words, log(1 + what logits have above -1), log(1 + words)."""
         n = len(texts)
-        top, second, words = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        top, second, words, warm = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n)
         held: list[bytes] = []
         owner: list[int] = []
 
@@ -89,6 +89,7 @@ class Model:
                 second[k] = np.maximum(np.minimum(top[k], v[last]), np.maximum(second[k], before))
                 top[k] = np.maximum(top[k], v[last])
                 np.add.at(words, doc, 1)
+                np.add.at(warm, doc, np.maximum(0, logits + 1))
             held.clear()
             owner.clear()
 
@@ -111,7 +112,7 @@ class Model:
         if held:
             flush()
         low = self.bias
-        return np.column_stack([np.ones(n), np.where(np.isfinite(top), top, low), np.where(np.isfinite(second), second, low), np.log1p(words)])
+        return np.column_stack([np.ones(n), np.where(np.isfinite(top), top, low), np.where(np.isfinite(second), second, low), np.log1p(warm), np.log1p(words)])
 
     def logits(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logit of each word of a folded buffer, and where it starts."""
@@ -135,7 +136,7 @@ def _adam(p: np.ndarray, g: np.ndarray, state: list[np.ndarray], step: int, rate
     p -= rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
 
 
-def train_words(words: list[bytes], share: np.ndarray, weight: np.ndarray, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train_words(words: list[bytes], share: np.ndarray, weight: np.ndarray, epochs: int = 20, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """(logit weight by bucket, bias) for words whose targets are ``share``, jointly over embeddings and softmax."""
     b = _FOLD[np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)]
     starts = np.cumsum([1, *[len(w) + 1 for w in words[:-1]]])
@@ -170,7 +171,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Two thirds of the texts give the words' targets, the rest fits the pooling."""
     base = float(toxic.mean()) if len(toxic) else 0.5
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0]))
+        return Model(np.zeros(BUCKETS), 0.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0, 0]))
     part = np.arange(len(texts)) % 3 == 0 if len(texts) >= 30 else np.zeros(len(texts), bool)
     seen: dict[bytes, list[int]] = {}
     for t, y, out in zip(texts, toxic, part):
@@ -186,7 +187,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     own[:, 0] *= 0.9 / max(1 - rows.mean(), 1e-6)
     share = (own[:, 1] + 0.2) / (own.sum(1) + 2)
     weight, bias = train_words(words, share, np.minimum(own.sum(1), 30))
-    model = Model(weight, bias, np.zeros(4))
+    model = Model(weight, bias, np.zeros(5))
     use = part if part.any() else ~part
     x, y = model.pooled([t for t, u in zip(texts, use) if u]), toxic[use].astype(float)
     model.pool = _logistic(x, y)

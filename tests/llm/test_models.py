@@ -101,7 +101,7 @@ def test_toxicity(spark):
 
 def test_scores_do_not_depend_on_batches(monkeypatch):
     rng = np.random.default_rng(0)
-    m = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -1.0, np.array([0.1, 0.5, 0.2, -0.3]))
+    m = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -1.0, np.array([0.1, 0.5, 0.2, 0.4, -0.3]))
     texts = ["one two three", None, "", "Über-straße x", "a" * 3000 + " b c d", "1 2"]
     alone = np.concatenate([m.scores([t]) for t in texts])
     assert np.allclose(m.scores(texts), alone)
