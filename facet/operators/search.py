@@ -34,14 +34,22 @@ class Analyzer:
     tokenizer: tuple = ("standard",)
     filters: tuple[tuple, ...] = (("lowercase",),)
 
-    def terms(self, text: Column) -> Column:
-        """An array of terms; null text has none."""
+    def smooth(self, text: Column) -> Column:
+        """The text as the tokenizer sees it."""
         c = F.coalesce(text.cast("string"), F.lit(""))
-        own = {f[0]: f[1:] for f in self.filters}
+        own = {f[0] for f in self.filters}
         if "lowercase" in own:
             c = F.lower(c)
-        if "ascii_folding" in own:
-            c = folded(c)
+        return folded(c) if "ascii_folding" in own else c
+
+    def may_have(self, text: Column, term: str) -> Column:
+        """False only where the term is surely absent: a term is a piece of the smooth text, unless it is a stem."""
+        return F.lit(True) if any(f[0] == "stemmer" for f in self.filters) else F.contains(self.smooth(text), F.lit(term))
+
+    def terms(self, text: Column) -> Column:
+        """An array of terms; null text has none."""
+        c = self.smooth(text)
+        own = {f[0]: f[1:] for f in self.filters}
         form = self.tokenizer[0]
         if form == "standard":
             t = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
@@ -249,21 +257,26 @@ def bm25(df: DataFrame, fields: Sequence[tuple[str, float]], query: str, analyze
     if not wanted:
         return df.withColumn(score, F.lit(0.0)).where(F.lit(False))
     names = [f for f, _ in fields]
-    base = df
-    for i, f in enumerate(names):
-        base = base.withColumn(f"__t{i}", analyzer.terms(text_of(df, f)))
-    tf = {}
-    for i, f in enumerate(names):
-        base = base.withColumn(f"__n{i}", F.size(f"__t{i}"))
-        for j, c in enumerate(clauses):
-            if c.field in (None, f):
-                tf[i, j] = f"__f{i}_{j}"
-                base = base.withColumn(tf[i, j], _frequency(F.col(f"__t{i}"), c))
+    texts = [text_of(df, f) for f in names]
+    tf = {(i, j): f"__f{i}_{j}" for i, f in enumerate(names) for j, c in enumerate(clauses) if c.field in (None, f)}
+    surely = {(i, j): reduce(lambda a, b: a & b, [analyzer.may_have(texts[i], t) for t in clauses[j].terms]) for i, j in tf}
+
+    def counted(d: DataFrame) -> DataFrame:
+        for i in range(len(names)):
+            d = d.withColumn(f"__t{i}", analyzer.terms(texts[i]))
+        for i in range(len(names)):
+            d = d.withColumn(f"__n{i}", F.size(f"__t{i}"))
+        for (i, j), c in tf.items():
+            d = d.withColumn(c, F.when(surely[i, j], _frequency(F.col(f"__t{i}"), clauses[j])).otherwise(0))
+        return d
+
     stats = []
     for i, f in enumerate(names):
         stats += [F.count(F.col(f)).alias(f"__docs{i}"), F.avg(F.when(F.col(f).isNotNull(), F.col(f"__n{i}"))).alias(f"__avg{i}")]
     stats += [F.sum((F.col(c) > 0).cast("long")).alias(f"__df{i}_{j}") for (i, j), c in tf.items()]
-    totals = base.agg(*stats)
+    totals = counted(df).agg(*stats)
+    # only rows that may match are cut into terms a second time
+    base = counted(df.where(reduce(lambda a, b: a | b, [c for (i, j), c in surely.items() if clauses[j].must is not False], F.lit(False))))
     hit = lambda j: reduce(lambda a, b: a | b, [F.col(tf[i, j]) > 0 for i in range(len(names)) if (i, j) in tf], F.lit(False))
     optional = [j for j, c in enumerate(clauses) if c.must is None]
     required = [j for j, c in enumerate(clauses) if c.must is True]
