@@ -15,7 +15,7 @@ from facet.llm import langid, sentencepiece
 from facet.llm.common import SPACE
 from facet.llm.exact_dedup import exact_dedup
 from facet.llm.mixing import mix_sources
-from facet.llm.simhash import near_dedup
+from facet.llm.similar import similar_classes
 
 
 def _row_key() -> Column:
@@ -44,7 +44,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document whose id names the class stays."""
-    kept = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    kept = similar_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
 
 
