@@ -43,9 +43,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document whose id names the class stays."""
-    kept = similar_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """Of each class of near-duplicates the row whose id and text name the class stays: the least id, null ids last."""
+    named = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    kept = similar_classes(docs).where(named).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

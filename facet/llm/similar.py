@@ -89,11 +89,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """One row a document: id_col, text_hash (XXH64 of the text), component_id (the least id reachable)."""
+    """One row a document: id_col, text_hash (XXH64 of the text), component_id and component_hash: the least (id, text_hash) reachable, null ids last."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("text_hash", F.xxhash64("t"))
     signed = durable(_signed(d, width))
     rows = signed.select("id", "text_hash", "node")
-    distinct = durable(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash")))
+    distinct = durable(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.min("text_hash").alias("text_hash")))
     keyed = signed.join(distinct.select("node", "text_hash"), ["node", "text_hash"]).dropDuplicates(["node"])
     buckets = durable(keyed.select("node", "text_hash", "size", F.explode("keys").alias("key")))
     heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1")
@@ -118,4 +118,4 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = durable(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     classes = attach_group(nodes, ["root"], ["node"], [F.min("first").alias("least")], [F.min("least").alias("component_id")])
     out = salted_join(rows, classes.select("node", "component_id"), ["node"], ["id", "text_hash"])
-    return out.select(F.col("id").alias(id_col), "text_hash", "component_id")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("component_id.id").alias("component_id"), F.col("component_id.text_hash").alias("component_hash"))

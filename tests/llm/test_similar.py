@@ -53,3 +53,15 @@ def test_near_stage_is_that_of_all_pairs(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
     assert corpus_pipeline.near(spark, df.limit(0), "").count() == 0
+
+
+def test_near_stage_keeps_one_row_a_class(spark):
+    """Null ids come last, and neither null nor repeated ids let a second row of a class stay."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(4)]
+    copy = lambda k, n: " ".join(base[k][:-1] + [f"end{n}"])
+    rows = [(None, copy(0, n)) for n in range(3)] + [(None, copy(1, 0)), (9, copy(1, 1)), (8, copy(1, 2))] + [(4, copy(2, 0)), (4, copy(2, 1))] + [(None, copy(3, 0))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near(spark, df, "").collect()
+    assert sorted(r["text"].split()[0] for r in kept) == sorted(b[0] for b in base)
+    assert sorted(str(r["doc_id"]) for r in kept) == ["4", "8", "None", "None"]
