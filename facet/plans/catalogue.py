@@ -166,12 +166,14 @@ q("in_variable", "LET big = (SELECT VALUE o_custkey FROM orders WHERE o_totalpri
 q("correlated_count", "SELECT c_custkey, (SELECT COUNT(*) AS n FROM orders WHERE o_custkey = $parent.c_custkey)[0].n AS n FROM customer", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
 q("correlated_sum", "SELECT c_custkey, (SELECT VALUE SUM(o_totalprice) FROM orders WHERE o_custkey = $parent.c_custkey)[0] AS s FROM customer", "SELECT c_custkey, round((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 2) AS s FROM customer", digits=2)
 q("correlated_filtered", "SELECT c_custkey, (SELECT COUNT(*) AS n FROM orders WHERE o_custkey = $parent.c_custkey AND o_totalprice > $parent.c_acctbal * 10)[0].n AS n FROM customer WHERE c_nationkey < 5", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10) AS n FROM customer WHERE c_nationkey < 5")
+q("correlated_filtered_all", "SELECT c_custkey, (SELECT COUNT(*) AS n FROM orders WHERE o_custkey = $parent.c_custkey AND o_totalprice > $parent.c_acctbal * 10)[0].n AS n FROM customer", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10) AS n FROM customer")
 q("correlated_top", "SELECT c_custkey, (SELECT VALUE o_orderkey FROM orders WHERE o_custkey = $parent.c_custkey ORDER o_totalprice DESC, o_orderkey LIMIT 1)[0] AS top FROM customer", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS top FROM customer")
 q("correlated_array_len", "SELECT n_name, array::length((SELECT c_custkey FROM customer WHERE c_nationkey = $parent.n_nationkey)) AS n FROM nation", "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation")
 q("correlated_where", "SELECT n_name FROM nation WHERE (SELECT COUNT(*) AS n FROM supplier WHERE s_nationkey = $parent.n_nationkey)[0].n > 3", "SELECT n_name FROM nation WHERE (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) > 3")
 q("nested_parent", "SELECT r_name, (SELECT VALUE SUM(n) FROM (SELECT n_nationkey, (SELECT COUNT(*) AS c FROM customer WHERE c_nationkey = $parent.n_nationkey AND c_custkey > $parent.parent.r_regionkey)[0].c AS n FROM nation WHERE n_regionkey = $parent.r_regionkey))[0] AS n FROM region", "SELECT r_name, (SELECT count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND c_custkey > r_regionkey) AS n FROM region")
 q("scalar_subquery_index", "SELECT n_name, (SELECT VALUE MAX(c_acctbal) FROM customer)[0] AS m FROM nation", "SELECT n_name, (SELECT round(max(c_acctbal), 4) FROM customer) AS m FROM nation")
 q("parent_source", "SELECT vec_id, array::length((SELECT VALUE $value FROM $parent.embedding WHERE $value > 0)) AS n FROM embeddings WHERE vec_id < 50", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings WHERE vec_id < 50")
+q("parent_source_all", "SELECT vec_id, array::length((SELECT VALUE $value FROM $parent.embedding WHERE $value > 0)) AS n FROM embeddings", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings")
 
 # ---- graph
 
@@ -190,6 +192,7 @@ q("hop_exact_depth", "SELECT ->borders{3}->nation AS x FROM nation", _WALK.forma
 q("hop_open", "SELECT ->borders{..}->nation AS x FROM nation", _WALK.format(most=10) + "SELECT 'nation:' || s AS s, 'nation:' || p AS t FROM v WHERE d BETWEEN 1 AND 10", then=_LIST("x"))
 q("hop_all_paths", "SELECT ->borders{1..3 ALL}->nation AS x FROM nation", "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + d) % 25 AS b FROM nation, (VALUES (1), (7)) t(d)), w AS (SELECT n_nationkey AS s, n_nationkey AS p, 0 AS d FROM nation UNION ALL SELECT s, b, d + 1 FROM w JOIN e ON p = a WHERE d < 3) SELECT 'nation:' || s AS s, 'nation:' || p AS t FROM w WHERE d > 0", then=_LIST("x"))
 q("hop_chain", "SELECT ->placed->orders->contains->part AS x FROM customer:5", "SELECT DISTINCT 'customer:5' AS s, 'part:' || l_partkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 5", then=_LIST("x"))
+q("hop_chain_all", "SELECT ->placed->orders->contains->part AS x FROM customer", "SELECT DISTINCT 'customer:' || o_custkey AS s, 'part:' || l_partkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey", then=_LIST("x"))
 q("hop_collection_filter", "SELECT ->lives_in->nation->within->region.r_name AS x FROM customer", "SELECT 'customer:' || c_custkey AS s, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", then=lambda d: d.select(F.col("id").alias("s"), F.explode("x").alias("x")).select("s", "x.r_name"))
 q("edge_fields", "SELECT ->contains.{quantity, cost: price} AS x FROM orders", "SELECT 'orders:' || l_orderkey AS s, l_quantity AS quantity, l_extendedprice AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey", then=lambda d: d.select(F.col("id").alias("s"), F.explode("x").alias("x")).select("s", "x.quantity", "x.cost"))
 q("edge_fields_deref", "SELECT ->lives_in.{home: to.n_name} AS x FROM customer", "SELECT 'customer:' || c_custkey AS s, n_name AS home FROM customer JOIN nation ON c_nationkey = n_nationkey", then=lambda d: d.select(F.col("id").alias("s"), F.explode("x").alias("x")).select("s", "x.home"))
@@ -356,6 +359,13 @@ def relate_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.catalog.edges["near"].df.select("from", "to", "weight")
 
 
+@direct("relate_cartesian_all", "SELECT 'region:' || r_regionkey AS \"from\", 'nation:' || n_nationkey AS \"to\", 1.5::DOUBLE AS weight FROM region, nation")
+def relate_cartesian_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = open_tables(spark, sf_dir)
+    e.query("RELATE (SELECT * FROM region)->near->(SELECT * FROM nation) SET weight = 1.5")
+    return e.catalog.edges["near"].df.select("from", "to", "weight")
+
+
 @direct("update_where", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey * 2 END::BIGINT AS twice FROM nation")
 def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = open_tables(spark, sf_dir)
