@@ -478,8 +478,8 @@ class Planner:
 
     def _ends(self, found: DataFrame, end: str, all_: frozenset[str]) -> frozenset[str]:
         """The collections that an end of the found edges refers to."""
-        got = found.select(F.substring_index(F.col("edge").getField(end), ":", 1).alias("c")).distinct().limit(len(all_) + 1).collect()
-        return frozenset(r["c"] for r in got if r["c"] in all_) or all_
+        got = found.select(F.substring_index(F.col("edge").getField(end), ":", 1).alias("c")).where(F.col("c").isin(*sorted(all_))).distinct().collect()
+        return frozenset(r["c"] for r in got) or all_
 
     def _node_items(self, found: DataFrame, fields: Any, target: str, name: str) -> DataFrame:
         df = found.select("start", F.col("node").alias("id"))
