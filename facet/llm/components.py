@@ -18,6 +18,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     up = lambda d: d.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = durable(up(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     mark = None
+    if not e.limit(1).count():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -1,121 +1,105 @@
-"""Near-dedup by exact similarity of word shingles, with MinHash bands for candidates.
-
-A text's words (ASCII letters lower-cased) give word shingles; two texts are linked if the Jaccard similarity of
-their shingle sets is ``least`` or more, and a document's class is the connected component it lies in.
-
-Texts with equal sets collapse first.  A set's signature is the least value of each of BANDS * ROWS permutations;
-sets that agree in all rows of a band are candidates, which at similarity s holds with chance 1 - (1 - s ** ROWS) ** BANDS:
-all but three in a million at 0.8, fewer missed above.  Every link is verified on the sets themselves, of which
-shingles are held as 64-bit hashes.
-
-A class may be large, so a bucket's members are first compared with its least member alone; pairs within a bucket
-are formed only between members that those links leave in different classes, which changes no class.
-
-Defined results: null and empty texts are equal, and a text shorter than a shingle is one shingle; repeated rows
-and ids give a row each; an empty table gives an empty result; further columns are ignored.
+"""Exact similarity of sets of word shingles, and candidates for it by min-wise bands.
+
+``simhash.near_dedup`` uses this where it is asked for a similarity: at a Jaccard similarity of 0.8 two fingerprints
+differ in some ten of their 64 bits, beyond what a pigeonhole join can probe, so that most such pairs
+need other candidates.  A set's signature is the least value of each of BANDS * ROWS permutations; sets that agree in
+all rows of a band are candidates, which at similarity s holds with chance 1 - (1 - s ** ROWS) ** BANDS: all but three in a
+million at 0.8, fewer missed above.
+
+Members of a bucket are first compared with its least member alone, and pairs within a bucket are formed only between members
+that the links so far leave in different classes.  A bucket of over ``hot`` members is split into finer ones, by a second and
+then a third band: a pair at 0.8 agrees in two bands but for five chances in 100,000, in three but for four in 10,000.
+Before sets are fetched, a pair must agree in MATCHES of its signatures' low bytes, which a pair at 0.8 misses with a
+chance below 1 in 10,000.  Every link is verified on the sets themselves, of which shingles are held as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group, durable, salted_join
-from .components import components
-from .simhash import _LOWER
+from .common import durable, map_texts
 
 BANDS, ROWS = 32, 5
+MATCHES = 108  # of BANDS * ROWS: 128 are expected at 0.8, with a deviation of 5
 _CHUNK = 1 << 10
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; at least one."""
+def hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; a text shorter than a shingle is one."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     joined = b" ".join(words)
     if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = list(itertools.accumulate([len(w) + 1 for w in words]))
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a : z - 1]) for a, z in zip([0, *ends], ends[width - 1 :])], np.uint64))
+    return np.array([h(joined[a : z - 1], seed) for a, z in zip([0, *ends], ends[width - 1 :])], np.uint64)
+
+
+def node_of(own: np.ndarray) -> int:
+    """A name of a sorted set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A key a band, as a signed long."""
+def signature(own: np.ndarray) -> tuple[bytes, list[int]]:
+    """The low bytes of a set's signature, and a key a band as a signed long."""
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(own), _CHUNK):
         low = np.minimum(low, ((own[at : at + _CHUNK, None] ^ _FLIP) * _ODD).min(0))
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _node(own: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
-
-
-def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text_hash, node, size, keys) of documents (id, t); node names the set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["t"]:
-                own = shingles(t, width)
-                out.append((_node(own), len(own), bands(own)))
-            node, size, keys = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node, "size": size, "keys": keys})
-
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash bigint, node bigint, size int, keys array<bigint>")
-
-
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, items) of the texts t."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                own = [shingles(t, width) for t in b["t"][at : at + 256]]
-                yield pd.DataFrame({"node": [_node(o) for o in own], "items": [o.view(np.int64) for o in own]})
-
-    return docs.select("t").mapInPandas(run, "node bigint, items array<bigint>")
-
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """One row a document: id_col, text_hash (XXH64 of the text), component_id and component_hash: the least (id, text_hash) reachable, null ids last."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    signed = durable(_signed(d, width))
-    rows = signed.select("id", "text_hash", "node")
-    distinct = durable(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.min("text_hash").alias("text_hash")))
-    keyed = signed.join(distinct.select("node", "text_hash"), ["node", "text_hash"]).dropDuplicates(["node"])
-    buckets = durable(keyed.select("node", "text_hash", "size", F.explode("keys").alias("key")))
-    heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1")
-    shared = durable(buckets.join(heads.select("key", "head"), "key"))
-    sets = durable(_sets(d.join(shared.select("text_hash").distinct(), "text_hash", "left_semi"), width).dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes, from (a, b, x, y) with x and y their sizes, that are similar."""
-        fit = pairs.where(F.least("x", "y") / F.greatest("x", "y") >= least).select("a", "b").distinct()
-        both = fit.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
-        both = both.withColumn("n", F.size(F.array_intersect("p", "q")))
-        return both.where(F.col("n") / (F.size("p") + F.size("q") - F.col("n")) >= least).select("a", "b")
-
-    first = durable(verified(shared.where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("size").alias("x"), F.col("head.size").alias("y"))))
-    roots = components(first)
-    known = durable(shared.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = durable(known.join(mixed, "key"))
-    pairs = left.toDF("key", "a", "x", "r").join(left.toDF("key", "b", "y", "s"), "key").where("a < b AND r <> s")
-    roots = components(durable(first.unionByName(verified(pairs))))
-
-    nodes = durable(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
-    classes = attach_group(nodes, ["root"], ["node"], [F.min("first").alias("least")], [F.min("least").alias("component_id")])
-    out = salted_join(rows, classes.select("node", "component_id"), ["node"], ["id", "text_hash"])
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("component_id.id").alias("component_id"), F.col("component_id.text_hash").alias("component_hash"))
+    return (low >> np.uint64(32)).astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+class Verifier:
+    """Which pairs of sets are similar; ``texts`` has text_hash and t, ``nodes`` has node, text_hash, size and sign."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, width: int, least: float):
+        self.texts, self.nodes, self.width, self.least = texts, nodes, width, least
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, items) of the given nodes."""
+        wanted = nodes.join(self.nodes.select("node", "text_hash"), "node").select("text_hash")
+        width = self.width
+
+        def items(texts: list) -> list:
+            own = [np.unique(hashes(t, width)) for t in texts]
+            ends = np.cumsum([0, *map(len, own)])
+            return [[node_of(o) for o in own], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))]
+
+        found = self.texts.join(wanted, "text_hash", "left_semi")
+        return map_texts(found, [], F.col("t"), "node bigint, items array<bigint>", lambda: items, rows=256).dropDuplicates(["node"])
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs (a, b) of nodes."""
+        side = lambda c, x: self.nodes.select(F.col("node").alias(c), F.col("size").alias("n" + x), F.col("sign").alias("s" + x))
+        both = pairs.distinct().join(side("a", "x"), "a").where("a <> b").join(side("b", "y"), "b").where(F.least("nx", "ny") / F.greatest("nx", "ny") >= self.least)
+        same = F.aggregate(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0), lambda n, i: n + (F.substring("sx", i, F.lit(1)) == F.substring("sy", i, F.lit(1))).cast("int"))
+        fit = durable(both.where(same >= MATCHES).select("a", "b"))
+        sets = durable(self.sets(fit.select(F.col("a").alias("node")).union(fit.select("b")).distinct()))
+        both = fit.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").withColumn("n", F.size(F.array_intersect("p", "q")))
+        return durable(both.where(F.col("n") / (F.size("p") + F.size("q") - F.col("n")) >= self.least).select("a", "b"))
+
+
+def buckets(nodes: DataFrame, hot: int) -> DataFrame:
+    """(key, node): the members of each bucket of two or more; those of more than ``hot`` in finer ones."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    found = None
+    for level in range(3):
+        sizes = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        big = sizes.where(F.col("n") > hot).select("key") if level < 2 else sizes.where("false")
+        small = rows.join(sizes.where(F.col("n") <= hot).select("key") if level < 2 else sizes.select("key"), "key")
+        found = small if found is None else found.unionByName(small)
+        if not big.limit(1).count():
+            break
+        crowd = rows.join(big, "key").join(nodes.select("node", "keys"), "node")
+        rows = crowd.select("node", "key", F.explode("keys").alias("k")).select("node", F.xxhash64("key", "k").alias("key"))
+    return durable(found.distinct())
