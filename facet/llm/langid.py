@@ -22,15 +22,13 @@ rows give a row each; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, map_texts
 
 SAMPLE = 400
 ORDER = 4
@@ -254,16 +252,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (the id alone unless given) and lang_pred, score, rejected, of every document."""
+    """The columns ``keep`` (the id alone unless given), as they are, and lang_pred, score, rejected, of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by that of the sample
-    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep if keep is not None else [id_col])]
-    d = docs.select(*kept, F.col(text_col).cast("string").alias("t"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lang, score, rejected = shared.value.predict(b["t"].tolist())
-            yield b.drop(columns="t").assign(lang_pred=lang, score=score, rejected=rejected)
-
-    out = d.mapInPandas(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep if keep is not None else [id_col])], "lang_pred", "score", "rejected")
+    names = keep if keep is not None else [id_col]
+    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    out = map_texts(docs, kept, F.col(text_col), "lang_pred string, score double, rejected boolean", lambda: shared.value.predict)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score", "rejected")
