@@ -6,13 +6,14 @@ jointly (Adam, full batches, numpy) on the words of a bounded labelled sample: a
 smoothed share of toxic documents among those that have it.  A misspelling never seen shares most
 n-grams, and so most of its vector, with the word it is made from.
 
-A document's score pools its words' logits: a logistic model, fitted on sampled documents whose words
+The average over a whole document drowns the few words that make it toxic (README: held-out figures of both forms), so
+a document's score pools its words' logits: a logistic model, fitted on sampled documents whose words
 were not counted, takes the highest and the second highest logit, the logs of how many words are warm and of how many there are.
 Scoring covers every whole text.
 
 Defined results: null and empty texts score what a document without words scores; without labelled
-rows of both classes every document gets the share of toxic rows (0.5 without any); repeated rows
-get a row each; further columns are ignored.
+rows of both classes, or without words in them, every document gets the share of toxic rows (0.5 without any); repeated rows
+get a row each; texts and words of any length are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, map_texts
 
 SAMPLE = 3000  # labelled documents a class
 BUCKETS = 1 << 16
@@ -170,18 +170,19 @@ def train_words(words: list[bytes], share: np.ndarray, weight: np.ndarray, epoch
 def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Two thirds of the texts give the words' targets, the rest fits the pooling."""
     base = float(toxic.mean()) if len(toxic) else 0.5
+    flat = Model(np.zeros(BUCKETS), 0.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0, 0]))
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0, 0]))
+        return flat
     part = np.arange(len(texts)) % 3 == 0 if len(texts) >= 30 else np.zeros(len(texts), bool)
     seen: dict[bytes, list[int]] = {}
     for t, y, out in zip(texts, toxic, part):
         if not out:
             for w in set(_FOLD[np.frombuffer(folded(t), np.uint8)].tobytes().split()):
                 seen.setdefault(w, [0, 0])[int(y)] += 1
-    words = sorted(w for w in seen if len(w) <= 64)
+    words = sorted(seen)
     own = np.array([seen[w] for w in words], float).reshape(-1, 2)
     if not words:
-        return fit(texts, np.full(len(toxic), 0)) if base < 0.5 else fit(texts, np.full(len(toxic), 1))
+        return flat
     rows = toxic[~part] if (~part).any() else toxic
     own[:, 1] *= 0.1 / max(rows.mean(), 1e-6)  # as if a tenth of the documents were toxic
     own[:, 0] *= 0.9 / max(1 - rows.mean(), 1e-6)
@@ -208,22 +209,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on ``sample`` labelled documents a class: those with the least hashes of their ids, each whole."""
+    """Fit on ``sample`` labelled documents a class: those with the least hashes of their ids, each whole.
+
+    An id that repeats counts once, with the first of its texts in order; it is toxic if one of its labels is."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     y = bounded_sample(y.select("i", F.col("y").cast("string").alias("y")), "y", ["i"], sample)
     chosen = F.broadcast(y.select("i", F.col("y").cast("int").alias("y")))  # at most 2 * sample rows
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(chosen, "i").select("i", "t", "y").collect()
+    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(chosen, "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()
     got.sort(key=lambda r: (str(r["i"]), r["t"] or ""))
     return fit([r["t"] for r in got], np.array([r["y"] for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score of every document."""
+    """id_col, as it is, and score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": shared.value.scores(b["t"].tolist())})
-
-    return d.mapInPandas(run, f"id {d.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    out = map_texts(docs, [F.col(id_col).alias("id")], F.col(text_col), "score double", lambda: lambda texts: [shared.value.scores(texts)])
+    return out.withColumnRenamed("id", id_col)
