@@ -8,7 +8,10 @@ format's tools write them.  ``to_bytes`` and ``parse`` are exact inverses for th
 
 Every record is built from its own response alone: no shuffle, and memory for one batch.
 
-Defined results: a null html is an empty payload; a null or empty url has no target URI; pages that
+Repeated headers keep their order and number, and names compare without case.  Chunked, gzip and deflate bodies are decoded
+for the text; digests are of the payload as it came.
+
+Defined results: ids of any type, null included, pass through untouched and count by their text; texts are read whole, whatever their length; a null html is an empty payload; a null or empty url has no target URI; pages that
 are not well-formed give what their tags still tell (an unclosed script hides the rest); repeated rows give
 repeated records with the same ids; an empty table gives none; further columns are ignored.
 """
@@ -25,12 +28,16 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
+Pairs = list[tuple[str, str]]
 EPOCH = "1970-01-01T00:00:00Z"
 BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split())
 _TOKEN = re.compile(
@@ -52,14 +59,46 @@ def urn(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, parts)))}>"
 
 
-def to_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
+def to_bytes(headers: Pairs, block: bytes) -> bytes:
     """One WARC/1.1 record; Content-Length is added."""
     head = "".join(f"{k}: {v}\r\n" for k, v in headers)
     return b"WARC/1.1\r\n" + head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a file, plain or gzipped, one at a time."""
+def _lines(f: io.BufferedIOBase) -> Iterator[str]:
+    """The lines of a header block, folded ones joined."""
+    held: str | None = None
+    while (line := f.readline().rstrip(b"\r\n")) != b"":
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and held is not None:
+            held += " " + text.strip()
+        else:
+            if held is not None:
+                yield held
+            held = text
+    if held is not None:
+        yield held
+
+
+class Headers(dict[str, str]):
+    """A header block: by name its first value, and in ``pairs`` all names and values in order."""
+
+    def __init__(self, pairs: Pairs):
+        super().__init__(reversed(pairs))
+        self.pairs = pairs
+
+
+def pairs_of(headers: Pairs | dict[str, str]) -> Pairs:
+    return getattr(headers, "pairs", None) or (list(headers.items()) if isinstance(headers, dict) else [tuple(x) for x in headers])
+
+
+def header(headers: Pairs, name: str, default: str | None = None) -> str | None:
+    """The first value of a header, whatever the case of its name."""
+    return next((v for k, v in headers if k.lower() == name.lower()), default)
+
+
+def parse(data: bytes | io.BufferedIOBase) -> Iterator[tuple[Headers, bytes]]:
+    """(headers, block) of each record of a file, plain or gzipped, one at a time; headers keep order, case and repeats."""
     f = io.BytesIO(data) if isinstance(data, bytes) else io.BufferedReader(data) if not hasattr(data, "peek") else data
     start = f.peek(2)[:2] if hasattr(f, "peek") else f.getvalue()[:2]
     if start == b"\x1f\x8b":
@@ -72,29 +111,70 @@ def parse(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byt
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers: dict[str, str] = {}
-        last = ""
-        while (line := f.readline().rstrip(b"\r\n")) != b"":
-            text = line.decode("utf-8", "replace")
-            if text[0] in " \t" and last:
-                headers[last] += " " + text.strip()
-            else:
-                last, _, value = text.partition(":")
-                headers[last] = value.strip()
-        yield headers, f.read(int(headers.get("Content-Length", 0)))
+        pairs = [(k, v.strip()) for k, _, v in (x.partition(":") for x in _lines(f))]
+        yield Headers(pairs), f.read(int(header(pairs, "Content-Length", "0")))
 
 
-def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+def split_http(block: bytes) -> tuple[str, Pairs, bytes]:
     """(status line, headers, payload) of an HTTP response; a block without headers is all payload."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
         return "", [], block
-    lines = head.decode("latin-1").split("\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("latin-1")).split("\r\n")
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
 
 
-def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
-    found = re.search(r"charset=[\"']?([\w.:-]+)", dict((k.lower(), v) for k, v in headers).get("content-type", "")) or re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", payload[:4096], re.I)
+def _unchunked(body: bytes) -> bytes:
+    """The body of a chunked message; what is not well-formed stays as it is from there on."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\n", at)
+        found = re.match(rb"[0-9a-fA-F]+(?=[\s;]|\Z)", body[at:end].strip()) if end >= 0 else None
+        if found is None:
+            return b"".join(out) + (body[at:] if end < 0 or body[at:end].strip() else b"")
+        n = int(found[0], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        if body[at : at + 2] == b"\r\n":
+            at += 2
+        elif body[at : at + 1] == b"\n":
+            at += 1
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """A gzip or deflate body; of a damaged one as much as can be read, of one that is neither the body itself."""
+    for wbits in (47,) if coding == "gzip" else (47, -15):
+        z, out, rest = zlib.decompressobj(wbits), b"", body
+        try:
+            while rest:
+                out += z.decompress(rest) + z.flush()
+                rest = z.unused_data
+                z = zlib.decompressobj(wbits)
+        except zlib.error:
+            z = zlib.decompressobj(wbits)
+            for i in range(0, len(body) if not out else 0, 512):
+                try:
+                    out += z.decompress(body[i : i + 512])
+                except zlib.error:
+                    break
+        if out:
+            return out
+    return body
+
+
+def body_of(payload: bytes, headers: Pairs) -> bytes:
+    """The payload without its transfer and content codings (chunked, gzip, deflate); of an unknown coding as it is."""
+    for name in ("Transfer-Encoding", "Content-Encoding"):
+        codings = [c.strip().lower() for k, v in headers if k.lower() == name.lower() for c in v.split(",")]
+        for c in reversed(codings):
+            payload = _unchunked(payload) if c == "chunked" else _inflated(payload, c.removeprefix("x-")) if c in ("gzip", "x-gzip", "deflate") else payload
+    return payload
+
+
+def decoded(payload: bytes, headers: Pairs) -> str:
+    found = re.search(r"charset=[\"']?([\w.:-]+)", header(headers, "Content-Type", ""), re.I) or re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", payload[:4096], re.I)
     name = found[1] if found else "utf-8"
     try:
         return payload.decode(name if isinstance(name, str) else name.decode("ascii"), "replace")
@@ -150,7 +230,7 @@ def read_html(page: str, base: str | None = None) -> dict:
     return {"title": title, "text": text, "links": links, "meta": meta}
 
 
-def response(key: object, url: str | None, page: str | None, date: str = EPOCH) -> tuple[list[tuple[str, str]], bytes]:
+def response(key: object, url: str | None, page: str | None, date: str = EPOCH) -> tuple[Pairs, bytes]:
     """(headers, block) of the response record of a page."""
     payload = (page or "").encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -160,17 +240,20 @@ def response(key: object, url: str | None, page: str | None, date: str = EPOCH)
     return headers + [("WARC-Payload-Digest", own), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block
 
 
-def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """The metadata and the conversion record of a response."""
+def derive(headers: Pairs | dict[str, str], block: bytes) -> list[tuple[Pairs, bytes]]:
+    """The metadata and the conversion record of a response.
+
+    The metadata holds the source's headers twice: as an object (of a repeated name the values as a list) and in order as pairs."""
+    headers = pairs_of(headers)
     status, http, payload = split_http(block)
-    source, uri, date = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI"), headers.get("WARC-Date", EPOCH)
-    page = read_html(decoded(payload, http), uri)
+    source, uri, date = header(headers, "WARC-Record-ID", ""), header(headers, "WARC-Target-URI"), header(headers, "WARC-Date", EPOCH)
+    page = read_html(decoded(body_of(payload, http), http), uri)
     computed = digest(payload)  # a source may have been cut or altered after its header was written
-    found = headers.get("WARC-Payload-Digest") or computed
+    found = header(headers, "WARC-Payload-Digest") or computed
     envelope = {
-        "WARC-Header": headers,
-        "Digests": {"Block": headers.get("WARC-Block-Digest") or digest(block), "Payload": found, "Payload-Computed": computed},
-        "HTTP": {"Status": status, "Headers": dict(http), "Payload-Length": len(payload)},
+        "WARC-Header": _object(headers), "WARC-Header-Pairs": headers,
+        "Digests": {"Block": header(headers, "WARC-Block-Digest") or digest(block), "Payload": found, "Payload-Computed": computed},
+        "HTTP": {"Status": status, "Headers": _object(http), "Header-Pairs": http, "Payload-Length": len(payload)},
         "HTML": {"Title": page["title"], "Meta": page["meta"], "Links": page["links"]},
     }
     made = []
@@ -182,54 +265,73 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     return made
 
 
+def _object(headers: Pairs) -> dict[str, str | list[str]]:
+    out: dict[str, list[str]] = {}
+    case: dict[str, str] = {}
+    for k, v in headers:
+        out.setdefault(case.setdefault(k.lower(), k), []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
 _SCHEMA = "kind string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, content_length bigint, block string"
 
 
-def _rows(key: object, headers: dict[str, str], block: bytes) -> Iterator[tuple]:
+def _rows(headers: Pairs, block: bytes) -> Iterator[tuple]:
     for own, b in derive(headers, block):
         h = dict(own)
-        yield (key, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], h["Content-Type"], h["WARC-Block-Digest"], headers.get("WARC-Payload-Digest"), len(b), b.decode())
+        yield (h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], h["Content-Type"], h["WARC-Block-Digest"], header(headers, "WARC-Payload-Digest"), len(b), b.decode())
+
+
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Two rows a page, ``metadata`` and ``conversion``, with their headers and block."""
-    d = pages.select(F.col(id_col).alias("k"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
-    names = [id_col, *(x.split()[0] for x in _SCHEMA.split(", "))]
+    """Two rows a page, ``metadata`` and ``conversion``, with their headers and block.  Ids pass through untouched."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo : lo + 1000]
-                rows: list[tuple] = []
-                for k, u, h in zip(part["k"], part["u"], part["h"]):
-                    headers, block = response(k, u, h)
-                    rows += _rows(k, dict(headers), block)
-                yield pd.DataFrame(rows, columns=["k", *names[1:]])
+    def work(keys: list, urls: list, htmls: list) -> tuple[list[int], list]:
+        rows = [(i, *r) for i, page in enumerate(zip(keys, urls, htmls)) for r in _rows(*response(*page))]
+        at, *columns = zip(*rows)
+        return list(at), columns
 
-    return d.mapInPandas(run, f"k {d.schema['k'].dataType.simpleString()}, {_SCHEMA}").withColumnRenamed("k", id_col)
+    # the id as text names the records; the id itself is only passed on
+    inputs = [F.col(c).cast("string") for c in (id_col, url_col, html_col)]
+    return map_texts(pages, [F.col(id_col).alias("k")], inputs, _SCHEMA, lambda: work, many=True).withColumnRenamed("k", id_col)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under ``path``, plain or gzipped: file, place, kind, headers, block."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """The records of the WARC files under ``path``, plain or gzipped: file, place, kind, headers (JSON pairs), block.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the files' names are listed by Spark; each task opens its files by itself and reads one record at a time, through
+    Arrow's file systems, so that a file of any size takes the memory of its largest record."""
+    files = spark.read.format("binaryFile").load(path).select("path").repartition("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"]):
-                for i, (h, block) in enumerate(parse(bytes(data))):
-                    yield pd.DataFrame({"file": [name], "place": [i], "kind": [h.get("WARC-Type")], "headers": [json.dumps(h)], "block": [block]})
+            for name in b.column(0).to_pylist():
+                with _opened(name) as f:
+                    for i, (h, block) in enumerate(parse(f)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (i, pa.int32()), (header(h.pairs, "WARC-Type"), pa.string()), (json.dumps(h.pairs), pa.string()), (block, pa.binary()))], names=["file", "place", "kind", "headers", "block"])
+
+    return files.mapInArrow(run, "file string, place int, kind string, headers string, block binary")
+
+
+def _opened(name: str) -> io.BufferedReader:
+    """A file, by its path or URI, as a stream."""
+    if name.startswith("file:"):
+        return open(unquote(urlparse(name).path), "rb")
+    from pyarrow import fs
 
-    return files.mapInPandas(run, "file string, place int, kind string, headers string, block binary")
+    system, at = fs.FileSystem.from_uri(name)
+    return io.BufferedReader(system.open_input_stream(at, compression=None))
 
 
 def derive_files(records: DataFrame) -> DataFrame:
     """Derivatives of the response records of ``read``: file, place, and the columns of ``derivatives``."""
-    names = ["file", "place", *(x.split()[0] for x in _SCHEMA.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, p, *r[1:]) for f, p, h, block in zip(b["file"], b["place"], b["headers"], b["block"]) for r in _rows(None, json.loads(h), bytes(block))]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [(f, p, *r) for f, p, h, block in zip(b["file"], b["place"], b["headers"], b["block"]) for r in _rows([tuple(x) for x in json.loads(h)], bytes(block))]
+            yield pd.DataFrame(rows, columns=["file", "place", *_NAMES])
 
     return records.where("kind = 'response'").mapInPandas(run, f"file string, place int, {_SCHEMA}")
 
@@ -240,5 +342,5 @@ def gzip_member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def write_bytes(records: Iterable[tuple[list[tuple[str, str]], bytes]], compress: bool = True) -> bytes:
+def write_bytes(records: Iterable[tuple[Pairs, bytes]], compress: bool = True) -> bytes:
     return b"".join(gzip_member(to_bytes(h, b)) if compress else to_bytes(h, b) for h, b in records)
