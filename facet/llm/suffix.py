@@ -21,21 +21,25 @@ equal buckets, and neighbouring windows mostly share one, so a run of windows tr
    sample, where one comparison of ranks tells whether they agree to the end.
 4. Each document's repeated windows are merged into spans, and its bytes outside are kept.
 
-Defined results: a null text has no bytes; ids are integers (null: after all others); rows that
-repeat an id count in an order of their own, each compared to those before it; texts below LENGTH
-bytes lose nothing; an empty table gives an empty result; further columns are ignored.
+Defined results: a null text has no bytes; ids are of any type that can be ordered, null after all others; rows that
+repeat an id count in the order of their texts' SHA-256, each compared to those before it, so that a rerun removes
+the same; texts below LENGTH bytes lose nothing, and those of any length are read whole, _SLICE windows at a time; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable
 
@@ -50,6 +54,7 @@ _PASS = 1 << 20  # windows sorted together
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = 22  # bits of a place in a slice
 _ALL, _SORT, _HOT = 1, 2, 3
+_HELD = 1 << 18  # rows of runs looked at together
 _CROWD = 20_000  # different runs of a bucket from which its windows travel one by one
 
 
@@ -159,33 +164,56 @@ def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": np.where(late, own ^ start, bucket), "d": digest, "ord": own, "at": _pack(start, count, np.where(late, _ALL, np.where(twice, _SORT, 0)))})
 
 
+def _decided(x: np.ndarray, crowded: int | None) -> pd.DataFrame:
+    """Whole buckets of runs (h, d, ord, at), sorted: later copies of a run go whole (_ALL), the rest is sorted where it must be (_SORT, _HOT)."""
+    h, d, _, at = x.T
+    new_bucket = np.append(True, h[1:] != h[:-1])
+    new_run = np.append(True, d[1:] != d[:-1]) | new_bucket
+    begins = np.flatnonzero(new_bucket)
+    kinds = np.repeat(np.add.reduceat(new_run.astype(np.int64), begins), np.diff(np.append(begins, len(h))))
+    if crowded is not None:
+        kinds[h == crowded] = _CROWD + 2
+    sort = new_run & ((kinds > 1) | (at & 3 == _SORT))
+    out = sort | ~new_run
+    x, sort, kinds = x[out], sort[out], kinds[out]
+    return _frame(x, np.where(sort, np.where(kinds > _CROWD, _HOT, _SORT), _ALL))
+
+
+def _frame(x: np.ndarray, flags: np.ndarray | int) -> pd.DataFrame:
+    return pd.DataFrame({"h": x[:, 0], "ord": x[:, 2], "at": x[:, 3] & ~np.int64(3) | flags})
+
+
+def _sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (h, d, ord, at) in that order to what is to be done with them; at most _HELD rows are held, whatever a bucket's size."""
+    rest = np.zeros((0, 4), np.int64)
+    crowded = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            x = np.column_stack([b[c].to_numpy(np.int64) for c in ("h", "d", "ord", "at")])
+            whole = x[:, 3] & 3 == _ALL
+            if whole.any():
+                yield _frame(x[whole], _ALL)
+            rest = np.concatenate([rest, x[~whole]])
+            if len(rest) < _HELD:
+                continue
+        end = len(rest) if b is None else int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0
+        if end:
+            yield _decided(rest[:end], crowded)
+            rest = rest[end:]
+        if len(rest) >= _HELD:  # one bucket: the later copies of its runs are decided, and if many runs are left it is a crowd
+            new = np.append(True, rest[1:, 1] != rest[:-1, 1])
+            yield _frame(rest[~new], _ALL)
+            rest = rest[new]
+            if len(rest) > _CROWD:
+                crowded = int(rest[0, 0])
+                yield _frame(rest[:-1], _HOT)
+                rest = rest[-1:]
+
+
 def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of some buckets: later copies of a run go whole (_ALL), the rest is sorted where it must be (_SORT)."""
+    """``_sifted`` for rows in any order that fit in memory."""
     got = list(batches)
-    if not got:
-        return
-    h, d, own, at = (np.concatenate([g[c].to_numpy() for g in got]) for c in ("h", "d", "ord", "at"))
-    del got
-    whole = at & 3 == _ALL
-    yield pd.DataFrame({"h": h[whole], "ord": own[whole], "at": at[whole]})
-    rest = np.flatnonzero(~whole)
-    by = rest[np.argsort(h[rest], kind="stable")]
-    k = h[by]
-    same = np.append(False, k[1:] == k[:-1])
-    many = same | np.append(same[1:], False)
-    by = by[many | (at[by] & 3 == _SORT)]
-    by = by[np.lexsort((at[by] >> 16, own[by], d[by], h[by]))]
-    if not len(by):
-        return
-    new_bucket = np.append(True, h[by[1:]] != h[by[:-1]])
-    new_run = np.append(True, (d[by[1:]] != d[by[:-1]])) | new_bucket
-    kinds = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_bucket))
-    mixed = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(new_bucket), len(by))))
-    sort = new_run & (mixed | (at[by] & 3 == _SORT))
-    crowd = np.repeat(kinds > _CROWD, np.diff(np.append(np.flatnonzero(new_bucket), len(by))))
-    out = sort | ~new_run
-    by, sort, crowd = by[out], sort[out], crowd[out]
-    yield pd.DataFrame({"h": h[by], "ord": own[by], "at": at[by] & ~np.int64(3) | np.where(sort, np.where(crowd, _HOT, _SORT), _ALL)})
+    return _sifted(iter([pd.concat(got).sort_values(["h", "d", "ord", "at"])] if got else []))
 
 
 # ---- 3. sorting a block
@@ -393,32 +421,38 @@ def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, t, places) to (id, _RESULT); the id stays as it is."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for b in batches:
-        rows = []
-        for i, t, places in zip(b["id"], b["t"], b["places"]):
-            t = b"" if t is None else bytes(t)
-            spans = merged([(int(x["start"]), int(x["n"])) for x in places]) if places is not None else []
-            digest, at = hashlib.sha256(), 0
-            for a, z in spans:
-                digest.update(t[at:a])
-                at = z
-            digest.update(t[at:])
-            rows.append((i, len(t), sum(z - a for a, z in spans), len(spans), digest.hexdigest(), [{"start": a, "end": z} for a, z in spans]))
-        out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-        yield out.astype({"id": b["id"].dtype}) if len(out) else out
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            rows = []
+            for t, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                t = t or b""
+                spans = merged([(x["start"], x["n"]) for x in places or ()])
+                digest, at = hashlib.sha256(), 0
+                for a, z in spans:
+                    digest.update(t[at:a])
+                    at = z
+                digest.update(t[at:])
+                rows.append((len(t), sum(z - a for a, z in spans), len(spans), digest.hexdigest(), [{"start": a, "end": z} for a, z in spans]))
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, k) for x, k in zip(zip(*rows), kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, t): ord is the id where ids are unique and not null, else a rank by id, null last."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    odd = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).count()
-    if not odd:
-        return rows.select("id", F.col("id").alias("ord"), "t")
+    """(id, ord, t): ord is the id where ids are integers, unique and not null, else a rank by id, null last, and text hash."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    if isinstance(rows.schema["id"].dataType, T.IntegralType):
+        odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).count()
+        if not odd:
+            return rows.select("id", F.col("id").cast("long").alias("ord"), "t")
     rows = durable(rows.withColumn("rid", F.monotonically_increasing_id()))
-    key = F.coalesce("id", F.lit((1 << 63) - 1))
-    parts = rows.select("rid", "id", key.alias("k")).repartitionByRange("k").sortWithinPartitions("k", F.col("id").isNull(), "rid")
+    keys = [F.col("id").isNull(), F.col("id"), F.col("sha"), F.col("rid")]
+    parts = rows.select("rid", "id", F.sha2(F.coalesce("t", F.lit(b"")), 256).alias("sha")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     parts = durable(parts.withColumn("m", F.monotonically_increasing_id()))  # increases with the range, then in it
     return rows.join(parts.select("rid", F.col("m").alias("ord")), "rid").select("id", "ord", "t")
 
@@ -427,7 +461,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (the bytes to remove, end exclusive)."""
     rows = ordered(docs, id_col, text_col)
     made = rows.select("ord", "t").mapInPandas(_run_rows, "h bigint, d bigint, ord bigint, at bigint")
-    sifted = durable(made.repartition("h").mapInPandas(_sift, "h bigint, ord bigint, at bigint"))
+    sifted = durable(made.repartition("h").sortWithinPartitions("h", "d", "ord", "at").mapInPandas(_sifted, "h bigint, ord bigint, at bigint"))
     kind = F.col("at").bitwiseAND(3)
     # Both joins below read the same columns of the same rows, so that the texts are shuffled once.
     texts = rows.where(F.col("ord").isNotNull()).select("ord", "id", "t")
@@ -436,6 +470,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = pieces.repartition("h").sortWithinPartitions("h").mapInPandas(_sorted_runs, "ord bigint, start bigint, n bigint")
     whole = sifted.where(kind == _ALL).select("ord", F.shiftright("at", 16).alias("start"), F.shiftright("at", 2).bitwiseAND(0x3FFF).alias("n"))
     spans = whole.unionByName(found).groupBy("ord").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    out = texts.join(spans, "ord", "left").select("ord", "id", "t", "places")
-    out = out.mapInPandas(_kept, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
-    return out.withColumnRenamed("id", id_col)
+    out = texts.join(spans, "ord", "left").select("id", "t", "places")
+    return out.mapInArrow(_kept, T.StructType([out.schema["id"], *T.StructType.fromDDL(_RESULT).fields])).withColumnRenamed("id", id_col)
