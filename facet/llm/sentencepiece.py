@@ -5,35 +5,39 @@ text into pieces, the one with the highest sum of scores; on ties, the one whose
 longest.  A character that no piece covers scores ten
 below the least piece and becomes its UTF-8 bytes' pieces, or the unknown piece without those.
 
-The search keeps the best scores of the last ``longest piece`` positions only.  Each position points
-back to where its last piece starts; whenever the paths back from all positions that can still be
-extended meet in one boundary, the ids up to it are committed and forgotten.  Where no piece of the
+The search holds a window of a few times the longest piece.  Each position points back to where its last piece
+starts; whenever the paths back from all positions that can still be extended meet in one boundary, the ids up to it are
+committed and forgotten, and the window moves there (where they don't meet, it grows).  Where no piece of the
 vocabulary can reach across (before a word's mark, around a character that no piece has) all paths
-meet by construction, so a text is fed in those segments, and the ids of short segments are remembered.
+meet by construction, so a text is fed to the search in those segments, and the ids that it gave for short ones are remembered.
 
 Decoding joins the pieces, bytes included, and turns marks into spaces; it gives the text back
 exactly unless the text holds the mark character itself (U+2581), which decodes as a space.
 
 Defined results: null has no ids (null) and decodes to null; the empty text has none (empty) and decodes
-to the empty text; repeated rows give a row each; further columns pass through where ``keep`` names them.
+to the empty text; texts of any length are encoded whole; repeated rows give a row each; further columns pass through where ``keep`` names them.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000  # segments a process
-_SHORT = 48
+REMEMBERED = 130_000  # segments a generation, of which there are two a process
+_SHORT = 48  # characters of a segment that is remembered
 
 
 @dataclass
@@ -44,14 +48,15 @@ class Vocabulary:
     text: list[bytes]  # by id: what it decodes to, marks as spaces
     floor: float
     longest: int = field(init=False)
-    starts: set[str] = field(init=False)
+    room: int = field(init=False)  # characters of a window
     cut: re.Pattern = field(init=False)
-    memory: dict[str, bytes] = field(default_factory=dict)
+    young: dict[str, bytes] = field(default_factory=dict)  # ids of segments seen lately
+    old: dict[str, bytes] = field(default_factory=dict)  # and of those before
     trie: dict = field(init=False)  # by character; at None the (id, score) of the piece that ends there
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        self.room = 5 * self.longest
         self.trie = {}
         for p, own in self.pieces.items():
             node = self.trie
@@ -66,10 +71,11 @@ class Vocabulary:
         self.cut = re.compile(f"{alone}{MARK}*[^{MARK}{lost}]+|{MARK}+" if free else (f"{alone}[^{lost}]+" if lost else "(?s:.+)"))
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Vocabulary:
+    def load(cls, model: str | bytes = MODEL) -> Vocabulary:
+        """A vocabulary, of the path or the bytes of a .model file."""
         from sentencepiece import SentencePieceProcessor
 
-        m = SentencePieceProcessor(model_file=path)
+        m = SentencePieceProcessor(model_proto=model if isinstance(model, bytes) else Path(model).read_bytes())
         pieces, text, by_byte = {}, [], {}
         for i in range(m.get_piece_size()):
             p = m.id_to_piece(i)
@@ -89,64 +95,42 @@ class Vocabulary:
 
     def search(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream of characters, in committed runs."""
-        pieces, starts, longest, floor = self.pieces, self.starts, self.longest, self.floor
-        # window[k] belongs to position base + k: (score, start of the last piece, its id or -1)
-        text, base, at = "", 0, 0  # text[0] is at position base; all before base is committed
-        best: list[tuple[float, int, int] | None] = [(0.0, 0, -1)]
-        feed, ended = iter(chars), False
+        feed = iter(chars)
+        text, room = "", self.room
         while True:
-            while not ended and len(text) < at - base + longest:
-                c = next(feed, None)
-                if c is None:
-                    ended = True
-                else:
-                    text += c
-            here = at - base
-            if here >= len(text):
-                break
-            score = best[here][0]
-            best.extend([None] * (here + longest + 1 - len(best)))
-            single = False
-            for k in range(1, min(longest, len(text) - here) + 1):
-                s = text[here : here + k]
-                p = pieces.get(s)
-                if p is not None:
-                    single |= k == 1
-                    new = score + p[1]
-                    old = best[here + k]
-                    if old is None or new > old[0]:
-                        best[here + k] = (new, at, p[0])
-                if s not in starts:
-                    break
-            if not single:
-                old = best[here + 1]
-                if old is None or score + floor > old[0]:
-                    best[here + 1] = (score + floor, at, -1)
-            at += 1
-            if at - base >= 4 * longest:
-                live = [base + k for k in range(at - base, len(best)) if best[k] is not None]
-                while len(live) > 1:  # the paths back, always moving the farthest one, until they meet
-                    far = live.pop()
-                    back = best[far - base][1]
-                    if back not in live:
-                        live.append(back)
-                        live.sort()
-                meet = live[0]
-                if meet > base:
-                    yield self._ids(text, base, best, meet)
-                    text, best = text[meet - base :], best[meet - base :]
-                    low = best[0][0]  # scores count from the boundary on: they never grow with the text
-                    best = [(b[0] - low, b[1], b[2]) if b is not None else None for b in best]
-                    base = meet
-        if at > base:
-            yield self._ids(text, base, best, at)
-
-    def search_short(self, text: str) -> list[int]:
-        """``search`` for a text within the window: nothing is committed before its end."""
+            text += "".join(islice(feed, room - len(text)))
+            ended = len(text) < room
+            ids, end = self._window(text, ended)
+            if end:
+                yield ids
+            if ended:
+                return
+            text, room = text[end:], self.room if end else 2 * room
+
+    def search_text(self, text: str) -> list[int]:
+        """``search`` for a text that is at hand."""
+        out: list[int] = []
+        at, room = 0, self.room
+        while True:
+            part = text[at : at + room]
+            ended = len(part) < room
+            ids, end = self._window(part, ended)
+            out += ids
+            if ended:
+                return out
+            at, room = at + end, self.room if end else 2 * room
+
+    def _window(self, text: str, ended: bool) -> tuple[list[int], int]:
+        """The ids that a window commits, and the boundary up to which it does: its end where the stream has ended, else
+        where the paths back from all positions that can still be extended meet (0: they don't).
+
+        All that can still win goes through that boundary, so the next window starts there, its scores counting from 0."""
         n, trie, floor, bottom = len(text), self.trie, self.floor, float("-inf")
+        # score[k], back[k], last[k]: of the best path to k, its last piece's start and its id (-1: no piece)
         score, back, last = [bottom] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
-        for i in range(n):
+        done = n if ended else n - self.longest + 1  # from the positions before, every piece is in sight
+        for i in range(done):
             node, here, j = trie.get(text[i]), score[i], i + 1
             if node is None or None not in node:
                 if here + floor > score[j]:
@@ -159,28 +143,25 @@ class Vocabulary:
                     break
                 node = node.get(text[j])
                 j += 1
+        if ended:
+            return self._ids(text, back, last, n), n
+        live = [k for k in range(done, n + 1) if score[k] > bottom]
+        while len(live) > 1:  # always the farthest moves back, until they meet
+            far = back[live.pop()]
+            if far not in live:
+                insort(live, far)
+        return self._ids(text, back, last, live[0]), live[0]
+
+    def _ids(self, text: str, back: list[int], last: list[int], end: int) -> list[int]:
         out: list[int] = []
-        while n:
-            if last[n] >= 0:
-                out.append(last[n])
-            elif self.bytes_ is None:
-                out.append(self.unknown)
-            else:
-                out.extend(self.bytes_[b] for b in reversed(text[back[n] : n].encode("utf-8", "surrogatepass")))
-            n = back[n]
-        out.reverse()
-        return out
-
-    def _ids(self, text: str, base: int, best: list, end: int) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            _, start, i = best[end - base]
+        while end:
+            start, i = back[end], last[end]
             if i >= 0:
                 out.append(i)
             elif self.bytes_ is None:
                 out.append(self.unknown)
             else:
-                out.extend(self.bytes_[b] for b in reversed(text[start - base : end - base].encode("utf-8", "surrogatepass")))
+                out.extend(self.bytes_[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
             end = start
         out.reverse()
         return out
@@ -189,18 +170,17 @@ class Vocabulary:
         """Ids of a text (int32)."""
         if not text:
             return np.zeros(0, np.int32)
-        memory, out = self.memory, []
+        young, old, out = self.young, self.old, []
         for s in self.cut.findall(MARK + text.replace(" ", MARK)):
-            b = memory.get(s)
+            b = young.get(s)
             if b is None:
+                b = old.get(s) or array("i", self.search_text(s)).tobytes()
                 if len(s) <= _SHORT:
-                    b = array("i", self.search_short(s)).tobytes()
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[s] = b
-                else:
-                    out.extend(array("i", run).tobytes() for run in self.search(s))
-                    continue
+                    young[s] = b
+                    if len(young) >= REMEMBERED:
+                        old.clear()
+                        old.update(young)
+                        young.clear()
             out.append(b)
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -209,13 +189,19 @@ class Vocabulary:
         return out[1:] if out[:1] == " " else out
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, ids: str = "ids") -> DataFrame:
+def _shared(df: DataFrame, model: str | bytes) -> Broadcast[bytes]:
+    """The vocabulary file (below a megabyte), read by the driver: executors need no path."""
+    return df.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
+
+
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | bytes = MODEL, ids: str = "ids") -> DataFrame:
     """The columns ``keep`` and ``ids`` (array<int>), for every row."""
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     d = docs.select(*kept, F.col(text_col).cast("string").alias("_t"))
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(model)
+        v = Vocabulary.load(shared.value)
         for b in batches:
             texts = b.column(b.num_columns - 1)
             for lo in range(0, b.num_rows, 512):
@@ -231,13 +217,14 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     return d.mapInArrow(run, fields).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids))
 
 
-def decode(tokens: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, text: str = "text") -> DataFrame:
+def decode(tokens: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | bytes = MODEL, text: str = "text") -> DataFrame:
     """The columns ``keep`` and the text that the ids stand for, for every row."""
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     d = tokens.select(*kept, F.col(ids_col).alias("_i"))
+    shared = _shared(tokens, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(model)
+        v = Vocabulary.load(shared.value)
         for b in batches:
             last = b.column(b.num_columns - 1)
             for lo in range(0, b.num_rows, 512):
