@@ -6,16 +6,20 @@ trusted documents (a bounded sample of labelled rows), one of the raw corpus (ev
 text's score is the mean log ratio of their probabilities over its n-grams, and every document is
 held to one fixed threshold: below it a text looks less like trusted ones than like the rest.
 
-N-grams are single tokens and pairs of neighbours.  A token is a word in which runs of four letters or more
-become one sign (one for capitals, one for others) and runs of digits another, so that an n-gram
-tells how a text is built: its short function words, punctuation and marks, not its rare words.
+N-grams are single words as they stand, and pairs of neighbouring shapes.  A shape is a word in which runs of four letters or
+more become one sign (one for capitals, one for others) and runs of digits another, so that a pair tells how a text is
+built: its short function words, punctuation and marks.  (README: held-out figures of words alone, shapes alone, both.)
+
+The threshold is fixed, and so is the weight of the prior: with few trusted n-grams no ratio can fall below the threshold, and
+nothing is rejected beyond the base rules (below some 4,650) or only what is far off.
 
 All of it is DataFrame expressions: one pass counts the corpus (combined on the map side into a table
 of a fixed number of buckets), one pass scores it against that table held as a constant array.
 
 Defined results: a null or empty text has no words and fails; without trusted rows nothing is
 rejected beyond the base rules; repeated rows get a row each; an empty table gives an empty
-result; further columns are ignored.
+result; a text is held as one array of its words and one of its windows, texts of any length are read whole; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,15 +80,12 @@ def base(words: Column, text: Column) -> dict[str, Column]:
 
 
 def grams(text: Column) -> Column:
-    """Buckets of a text's tokens and of its pairs of neighbouring tokens."""
+    """Buckets of a text's words and of its pairs of neighbouring shapes."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{4,}", "W"), r"\p{L}{4,}", "w"), r"\p{N}+", "0")
-    tokens = F.split(shape, SPACE + "+", -1)
     bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-
-    def both(t: Column) -> Column:
-        return F.concat(F.transform(t, lambda x: bucket(x)), F.transform(t, lambda x, i: bucket(x, F.get(t, i + 1))))
-
-    return let(tokens, both)
+    words = F.transform(words_of(text), lambda x: bucket(x))
+    pairs = let(F.split(shape, SPACE + "+", -1), lambda t: F.transform(t, lambda x, i: bucket(x, F.get(t, i + 1))))
+    return F.concat(words, pairs)
 
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trusted: int) -> list[float]:
