@@ -13,8 +13,8 @@ little or too much is made up for by the next shorter class.
 The driver holds a few numbers a source (the mixture's own definition has a weight for each);
 nothing a document.
 
-Defined results: null or empty texts have size 0 and rate 1, and take nothing; a null source is a
-source of its own, last; an empty table gives an empty result; reruns agree, since ties are broken by a
+Defined results: texts of any length are counted whole; null or empty texts have size 0 and rate 1, and take nothing; a null source is a
+source of its own, last; an empty table gives an empty result; reruns agree, since sums are exact decimals and ties are broken by a
 hash of the id, then the id, and repeated rows (same id) are interchangeable; further columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,6 +64,11 @@ def _with(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return d.join(side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["src", "_s"]).drop("_s")
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that does not depend on the order in which partitions arrive: reruns agree to the last bit."""
+    return F.sum(x.cast("decimal(38,12)"))
+
+
 def solve_tilts(hist: DataFrame, sizes: dict[str, float], counts: dict[str, int], targets: dict[str, float], most: float, tolerance: float = 1e-9, rounds: int = 60) -> dict[str, float]:
     """lambda of each source; hist has src, size, n."""
     mean = {s: sizes[s] / counts[s] for s in sizes}
@@ -77,15 +82,15 @@ def solve_tilts(hist: DataFrame, sizes: dict[str, float], counts: dict[str, int]
         x = F.col("size") / F.col("mean")
         raw = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         got = _with(hist, [{"src": s, "tilt": tilt[s], "mean": mean[s]} for s in sorted(active)], "src:string,tilt:double,mean:double").groupBy("src").agg(
-            F.sum(F.col("n") * F.col("size") * F.least(raw, F.lit(float(most)))).alias("g"), F.sum(F.when(raw < most, F.col("n") * F.col("size") * x * raw)).alias("h"),
+            _exact_sum(F.col("n") * F.col("size") * F.least(raw, F.lit(float(most)))).alias("g"), _exact_sum(F.when(raw < most, F.col("n") * F.col("size") * x * raw)).alias("h"),
         ).collect()
         for r in got:
-            s, gap = r["src"], targets[r["src"]] - r["g"]
+            s, gap, slope = r["src"], targets[r["src"]] - float(r["g"]), float(r["h"] or 0)
             if abs(gap) <= tolerance * targets[s]:
                 active.discard(s)
                 continue
             low[s], high[s] = (tilt[s], high[s]) if gap > 0 else (low[s], tilt[s])
-            step = tilt[s] + max(-3.0, min(3.0, gap / r["h"])) if r["h"] else math.nan
+            step = tilt[s] + max(-3.0, min(3.0, gap / slope)) if slope else math.nan
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else 2 * tilt[s] + math.copysign(1, gap)
             if step == tilt[s]:
@@ -107,7 +112,8 @@ def _rounded(hist: DataFrame, info: dict[str, dict], most: float) -> list[dict]:
     out = []
     for k, (a, z) in enumerate(spans):
         here = hist.where((F.col("size") > a) & (F.col("size") <= z) & (F.col("size") > 0))
-        words = {r["src"]: r for r in here.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("w"), F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("e")).collect()}
+        words = {r["src"]: r for r in here.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("w"), _exact_sum(F.col("n") * F.col("size") * F.col("rate")).alias("e")).collect()}
+        words = {s: {"w": r["w"], "e": float(r["e"])} for s, r in words.items()}
         nudge = {s: max(-r["e"] / r["w"], min(most - r["e"] / r["w"], carry[s] / r["w"])) for s, r in words.items()}
         out += [{"src": s, "k": k, "nudge": v} for s, v in nudge.items()]
         if not nudge:

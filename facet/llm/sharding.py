@@ -11,7 +11,7 @@ bounded set of known prefix sums: with the gaps between them it brackets the cap
 sides, and each round one pass over the table fetches at most ``points`` more prefix sums from
 just those gaps that the two bounds still disagree on, until the bounds meet.  The result is exact.
 
-Defined results: rows may repeat ids; an empty table gives an empty result; further columns of the
+Defined results: texts of any length count whole, ids may be null and may repeat; an empty table gives an empty result; further columns of the
 input are ignored, whatever their names.
 """
 
