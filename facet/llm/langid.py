@@ -8,16 +8,17 @@ one of back-off weights a context) by language; one binary search scores a posit
 languages, and only n-grams that no language has seen go on to the next lower order.
 
 The prediction is the language with the least cross-entropy a character; the score is its posterior.
-A document is rejected if that cross-entropy is above what documents of the language have:
-the limit is calibrated on documents that were not counted, as a mean plus deviations that widen
-as texts get shorter.
+A document is rejected if that cross-entropy is above what texts of the language have: for each of several lengths, pieces of
+documents that were not counted give a median and a 97 % quantile, and a text may be thrice as far above the median as
+that (at least ``LEEWAY``: documents may quote other languages); below the shortest length the room widens as the root of the length shrinks.
 
 The fit uses a bounded sample (``SAMPLE`` documents a language, the least hashes of their ids, each
 whole) of the rows given for training; scoring covers every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected; without
 training rows every text is ``und``; ties go to the language first in code-point order; repeated
-rows give a row each; further columns are ignored.
+rows give a row each; texts of any length are read whole, in pieces of ``_CHUNK`` characters; an empty table gives an empty
+result; kept columns pass through untouched, further ones are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import bounded_sample, map_texts
 
 SAMPLE = 400
 ORDER = 4
+LENGTHS = np.array([32, 64, 128, 256, 512, 1024])  # characters of the texts that calibrate the rejection
+LEEWAY = 0.8  # nats a character above the median that are never rejected
 UNKNOWN = "und"
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
@@ -76,7 +79,7 @@ class Model:
     contexts: list[np.ndarray]  # by context length from 1 on
     backoff: list[np.ndarray]
     floor: np.ndarray
-    limit: np.ndarray  # by language: mean and deviation of the cross-entropy of its own documents
+    limit: np.ndarray  # by language and length: median cross-entropy of its own texts, and what is allowed above
 
     def logs(self, c: np.ndarray) -> np.ndarray:
         """For each character but the first ``order - 1`` its log probabilities, a column a language."""
@@ -144,8 +147,9 @@ class Model:
         best = ce.argmin(1)
         total = (ce - ce.min(1, keepdims=True)) * np.minimum(sizes, 200)[:, None]  # characters are not independent
         score = 1 / np.exp(-np.minimum(total, 700)).sum(1)
-        mean, spread = self.limit[best].T
-        rejected = ce.min(1) > mean + 8 * spread * np.sqrt(1 + 400 / np.maximum(sizes, 1))
+        at = np.searchsorted(LENGTHS, sizes, side="right") - 1
+        middle, room = np.moveaxis(self.limit[best, np.maximum(at, 0)], -1, 0)
+        rejected = ce.min(1) > middle + room * np.where(at < 0, np.sqrt(LENGTHS[0] / np.maximum(sizes, 1)), 1)
         none = sizes == 0
         return [UNKNOWN if z else self.languages[b] for z, b in zip(none, best)], np.where(none, 0, score), rejected | none
 
@@ -198,6 +202,11 @@ def kneser_ney(texts: list[str], order: int, alphabet: int) -> tuple[list[dict],
     return probs, weights[1:], weights[0].get((), 1.0) * floor
 
 
+def _room(x: np.ndarray) -> float:
+    """How far above the median a cross-entropy may be: thrice as far as nearly all of ``x`` are."""
+    return max(LEEWAY, 3 * float(np.quantile(x, 0.97) - np.median(x)))
+
+
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     """Four fifths of each language's texts are counted; the rest calibrates the rejection."""
     languages = sorted(k for k, v in texts.items() if any(len(codes(t)) for t in v))
@@ -232,12 +241,21 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
             a, b = table(sorted(set().union(*(g[1][n - 1] for g in got))), n, lambda k, g, n=n: got[k][1][n - 1].get(g, 1.0))
             contexts.append(a)
             backoff.append(b)
-    model = Model(languages, order, keys, logp, contexts, backoff, floor.astype(np.float32), np.zeros((len(languages), 2)))
+    model = Model(languages, order, keys, logp, contexts, backoff, floor.astype(np.float32), np.zeros((len(languages), len(LENGTHS), 2)))
     for k, name in enumerate(languages):
         own = [t for i, t in enumerate(texts[name]) if not i % 5] if len(texts[name]) >= 10 else texts[name]
-        ce, sizes = model.entropy(own)
-        x = ce[sizes > 0, k]
-        model.limit[k] = np.median(x), max(0.1, 1.4826 * np.median(np.abs(x - np.median(x))))
+        seen = (0.0, 10.0)
+        for j, n in enumerate(LENGTHS.tolist()):
+            pieces = [t[a : a + n] for t in own for a in range(0, min(len(t) - n + 1, (4 if n <= 256 else 1) * n), n)]
+            ce, sizes = model.entropy(pieces or [None])
+            x = ce[sizes > n / 2, k]
+            if len(x) >= 5:
+                seen = np.median(x), _room(x)
+            elif not j:  # short texts only: as they are
+                ce, sizes = model.entropy(own)
+                x = ce[sizes > 0, k]
+                seen = np.median(x), _room(x)
+            model.limit[k, j] = seen
     return model
 
 
