@@ -228,7 +228,9 @@ def decode(tokens: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("do
         for b in batches:
             last = b.column(b.num_columns - 1)
             for lo in range(0, b.num_rows, 512):
-                out = pa.array([None if x is None else v.decode(x) for x in last.slice(lo, 512).to_pylist()], pa.string())
+                part = last.slice(lo, 512)
+                ends, flat = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+                out = pa.array([v.decode(flat[a:z].tolist()) if good else None for a, z, good in zip(ends[:-1].tolist(), ends[1:].tolist(), part.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, 512) for i in range(b.num_columns - 1)), out], [*b.schema.names[:-1], "t"])
 
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "t string"])
