@@ -68,6 +68,7 @@ class Edges(_Lazy):
     directed: bool = True
     single: bool = True
     on_delete: str = "cascade"  # cascade, restrict, none
+    ends: tuple[frozenset[str], frozenset[str]] | None = None  # the collections that ``from`` and ``to`` refer to, where known
 
 
 @dataclass

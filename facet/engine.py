@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 import hashlib
 import hmac
 import secrets
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import HAS, Catalog, Edges, Index, settled
+from .catalog import HAS, Catalog, Collection, Edges, Index, settled
 from .functions import values as V
 from .functions.values import E, LanguageError
 from .lang import parse
-from .lang.tree import Node
+from .lang.tree import Node, walk
 from .operators import dml, graph, search
-from .plans.planner import Planner, Rows, Scope, Table, python, quoted
+from .plans.planner import BUILTIN_ANALYZERS, Planner, Rows, Scope, Table, python, quoted, supported
 
 
 class _Break(Exception):
@@ -39,15 +40,17 @@ class Engine:
     >>> Engine(spark).query("SELECT VALUE $value * 2 FROM 1..3").collect()
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, user: str = "root"):
         self.spark = spark
         self.catalog = catalog or Catalog(spark)
+        self.user = user
         self.variables: dict[str, Any] = {}
         self.timeout: float | None = None
         self.users: dict[str, dict] = {}
         self.keys: dict[str, dict] = {}
         self.policies: dict[str, Node] = {}
-        self._before: Catalog | None = None
+        self._before: Catalog | None = None  # the shared catalog while a transaction is open
+        self._base: dict[str, int] = {}
 
     # ---- running
 
@@ -96,36 +99,51 @@ class Engine:
     @contextlib.contextmanager
     def transaction(self) -> Iterator[Engine]:
         """A session with a snapshot of its own; commits at the end, discards on an error."""
-        session = Engine(self.spark, self.catalog.copy())
+        session = self._session(self.catalog.copy(), self.user)
         base = dict(self.catalog.versions)
         yield session
-        self._merge(session.catalog, base)
-
-    def _merge(self, changed: Catalog, base: dict[str, int]) -> None:
-        touched = {k for k, v in changed.versions.items() if base.get(k) != v}
-        touched |= {k for k in changed.collections if k not in self.catalog.collections}
-        late = [k for k in touched if self.catalog.versions.get(k) != base.get(k)]
-        if late:
-            raise LanguageError(f"conflict: {', '.join(sorted(late))} changed since the transaction began")
-        for k in touched:
-            if k.startswith("->"):
-                self.catalog.edges[k[2:]] = changed.edges[k[2:]]
-            elif k in changed.collections:
-                self.catalog.collections[k] = changed.collections[k]
-            else:
-                self.catalog.collections.pop(k, None)
-            self.catalog.versions[k] = changed.versions.get(k, 0)
-        self.catalog.analyzers = changed.analyzers
+        _merge(self.catalog, session.catalog, base)
+
+    def _session(self, catalog: Catalog, user: str) -> Engine:
+        new = Engine(self.spark, catalog, user)
+        new.users, new.keys, new.policies = self.users, self.keys, self.policies
+        return new
+
+    def session(self, name: str, password: str) -> Engine:
+        """Another session on the same data, as a user: each of its statements must be allowed by the policies."""
+        if not self.login(name, password):
+            raise LanguageError("unknown user or wrong password")
+        return self._session(self.catalog, name)
 
     # ---- statements
 
     @property
     def planner(self) -> Planner:
-        return Planner(self.catalog, self.variables)
+        return Planner(self.catalog if self.user == "root" else _Guarded(self.catalog, lambda c: self._need("select", c)), self.variables)
 
     def statement(self, n: Node) -> Any:
+        if self.user != "root":
+            self._authorize(n)
         return getattr(self, "_" + n.kind)(n)
 
+    def _need(self, action: str, resource: str) -> None:
+        if not self.allowed(self.user, action, resource):
+            raise LanguageError(f"{self.user} may not {action} {resource}")
+
+    def _authorize(self, n: Node) -> None:
+        """What a statement does by its text; collections reached through references are checked as the planner opens them."""
+        for x in walk(n):
+            if x.kind in _WRITES:
+                self._need(_WRITES[x.kind], x.get("collection") or x.get("label") or "")
+            elif x.kind == "from_collection":
+                self._need("select", x.collection)
+                if any(y.kind in ("full_text", "nearest") for y in walk(n)):
+                    self._need("search", x.collection)
+            elif x.kind == "step" and x.label in self.catalog.edges:
+                self._need("traverse", x.label)
+            elif x.kind.startswith(("define_", "create_", "alter_", "drop_")) or x.kind == "reindex":
+                self._need("drop" if x.kind.startswith("drop_") else "create" if x.kind in ("define_collection", "create_index") else "manage", x.get("collection") or x.get("name") or "")
+
     def _rows(self, rows: Rows) -> DataFrame:
         df = rows.df.select(*[quoted(c) for c in rows.columns])
         return df.toDF("value") if rows.scalar and len(rows.columns) == 1 else df
@@ -226,12 +244,14 @@ class Engine:
     def _begin(self, n: Node) -> None:
         if self._before is not None:
             raise LanguageError("a transaction is open already")
-        self._before = self.catalog.copy()
+        self._before, self._base = self.catalog, dict(self.catalog.versions)
+        self.catalog = self.catalog.copy()  # writes stay in this session until COMMIT
 
     def _commit(self, n: Node) -> None:
         if self._before is None:
             raise LanguageError("no transaction is open")
-        self._before = None
+        _merge(self._before, self.catalog, self._base)  # a conflict ends the transaction, as any error does
+        self.catalog, self._before = self._before, None
 
     def _rollback(self, n: Node) -> None:
         if self._before is None:
@@ -270,6 +290,10 @@ class Engine:
             raise LanguageError(f"index {new.name} exists")
         if new.form == "unique":
             dml.unique(c.df, new.fields)
+        if (analyzer := dict(new.options).get("analyzer")) is not None:
+            if new.form != "fulltext":
+                raise LanguageError("ANALYZER is for FULLTEXT indexes")
+            self.planner.analyzer(analyzer)  # unknown ones raise
         self.catalog.change(n.collection, indexes=(*c.indexes, new))
 
     def _drop_index(self, n: Node) -> None:
@@ -291,9 +315,13 @@ class Engine:
         self.catalog.versions[n.name] = self.catalog.versions.get(n.name, 0) + 1
 
     def _define_analyzer(self, n: Node) -> None:
-        self.catalog.analyzers[n.name] = search.Analyzer(n.tokenizer, tuple(n.filters))
+        if n.name in BUILTIN_ANALYZERS:
+            raise LanguageError(f"{n.name} is a built-in analyzer")
+        self.catalog.analyzers[n.name] = supported(search.Analyzer(n.tokenizer, tuple(n.filters)))
 
     def _drop_analyzer(self, n: Node) -> None:
+        if n.name in BUILTIN_ANALYZERS:
+            raise LanguageError(f"{n.name} is a built-in analyzer")
         if n.name not in self.catalog.analyzers:
             raise LanguageError(f"analyzer {n.name} does not exist")
         if any(dict(i.options).get("analyzer") == n.name for c in self.catalog.collections.values() for i in c.indexes):
@@ -545,7 +573,7 @@ class Engine:
             new = new.withColumns({"from": F.least("from", "to"), "to": F.greatest("from", "to")})
         new = settled(new.withColumn("created_at", F.current_timestamp()))
         old = kind.df.join(new.select("from", "to"), ["from", "to"], "left_anti") if kind.single else kind.df
-        self.catalog.change_edges(n.label, df=settled(dml.together(old.select(*kind.df.columns), new)))
+        self.catalog.change_edges(n.label, df=settled(dml.together(old.select(*kind.df.columns), new)), ends=None)  # the new ones may lead elsewhere
         if n.returns == "none":
             return new.agg(F.count(F.lit(1)).alias("count"))
         if isinstance(n.returns, list):
@@ -641,6 +669,38 @@ class Engine:
         return any(p.allow for p in met) and all(p.allow for p in met)
 
 
+#: Statements that write, and the action that policies know them by.
+_WRITES = {"insert": "insert", "create": "insert", "upsert": "update", "update": "update", "delete": "delete", "relate": "insert", "delete_edge": "delete"}
+
+
+class _Guarded(Catalog):
+    """A catalog that asks before it opens a collection."""
+
+    def __init__(self, catalog: Catalog, ask: Callable[[str], None]):
+        super().__init__(**{f.name: getattr(catalog, f.name) for f in dataclasses.fields(catalog)})
+        self.ask = ask
+
+    def collection(self, name: str) -> Collection:
+        self.ask(name)
+        return super().collection(name)
+
+
+def _merge(into: Catalog, changed: Catalog, base: dict[str, int]) -> None:
+    """Put what a snapshot changed into the shared catalog, unless that changed there since the snapshot was made."""
+    touched = {k for k, v in changed.versions.items() if base.get(k) != v}
+    late = [k for k in touched if into.versions.get(k) != base.get(k)]
+    if late:
+        raise LanguageError(f"conflict: {', '.join(sorted(late))} changed since the transaction began")
+    for k in touched:
+        mine, theirs, name = (into.edges, changed.edges, k[2:]) if k.startswith("->") else (into.collections, changed.collections, k)
+        if name in theirs:
+            mine[name] = theirs[name]
+        else:
+            mine.pop(name, None)
+        into.versions[k] = changed.versions[k]
+    into.analyzers = dict(changed.analyzers)
+
+
 def _assign(base: E | None, path: list[str], e: E) -> E:
     """``base`` with ``e`` at a path, objects made on the way."""
     if not path:

@@ -69,7 +69,7 @@ class Analyzer:
         if "stopwords" in own:
             stop = _STOP.get(own["stopwords"][0], "").split()
             t = F.filter(t, lambda x: ~x.isin(stop)) if stop else t
-        if "stemmer" in own and own["stemmer"][0] in ("english", "porter"):
+        if "stemmer" in own and own["stemmer"][0] in STEMMED:
             t = _stem_all()(t)
         if "length" in own:
             a, z = own["length"]
@@ -98,7 +98,7 @@ class Analyzer:
         if "stopwords" in own:
             stop = set(_STOP.get(own["stopwords"][0], "").split())
             out = [x for x in out if x not in stop]
-        if "stemmer" in own and own["stemmer"][0] in ("english", "porter"):
+        if "stemmer" in own and own["stemmer"][0] in STEMMED:
             out = [stem(x) for x in out]
         if "length" in own:
             out = [x for x in out if own["length"][0] <= len(x) <= own["length"][1]]
@@ -115,6 +115,8 @@ def folded(c: Column) -> Column:
 
 
 STANDARD = Analyzer()
+ONE_TASK = 100_000  # rows of a list that are ranked in one task
+STEMMED = ("english", "porter")
 
 
 # ---- an English stemmer (Porter, 1980)
@@ -332,15 +334,29 @@ def nearest(df: DataFrame, field: str, vector: Sequence[float] | Column, k: int,
 # ---- fusion
 
 
+def _ranked(d: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``d`` with ``__r``, its rank from 1: in one task where the plan itself bounds the rows, else over sorted ranges."""
+    bound = d._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and bound.get() <= ONE_TASK:
+        return d.withColumn("__r", F.row_number().over(Window.orderBy(*order)))
+    from ..catalog import settled
+
+    parts = settled(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
+    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__a"))  # a row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__p", "__a", before.alias("__b"))
+    return parts.join(F.broadcast(starts), "__p").withColumn("__r", F.col("__b") + F.col("__m") - F.col("__a") + 1).drop("__p", "__m", "__a", "__b")
+
+
 def rrf(lists: Sequence[tuple[DataFrame, Sequence[Column]]], limit: int, k: float = 60, key: str = "id") -> DataFrame:
     """Reciprocal-rank fusion of ranked lists, each with the order of its ranks.
 
     An item's score sums 1 / (k + rank) over the lists, with ranks from 1; it keeps the fields that all lists
-    have, as the first list that holds it gives them.  Lists are bounded (they come from a top-k or a LIMIT).
+    have, as the first list that holds it gives them.  Lists may be of any length.
     """
     shared = [c for c in lists[0][0].columns if all(c in d.columns for d, _ in lists)]
     ranked = [
-        d.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(Window.orderBy(*order))).select(*[F.col(f"`{c}`") for c in shared], "__r", F.lit(i).alias("__l"))
+        _ranked(d.where(F.col(key).isNotNull()), order).select(*[F.col(f"`{c}`") for c in shared], "__r", F.lit(i).alias("__l"))
         for i, (d, order) in enumerate(lists)
     ]
     rows = reduce(DataFrame.unionByName, ranked)

@@ -258,6 +258,9 @@ class Planner:
     def _bring(self, x: Node, s: Scope) -> Node | None:
         if x.kind == "field" and len(x.path) > 1:
             return self._deref(x.path, s)
+        if x.kind == "index" and x.value.kind == "subquery" and x.at == Node("literal", value=0) and x.value.query.limit is None and not parent_uses(x.value.query):
+            first = Node("select", **{**x.value.query.parts, "limit": 1})
+            return Node("index", value=self._subquery(first, s), at=x.at)
         if x.kind == "parent" and (x.levels, tuple(x.path)) in s.parents:
             return Node("column", name=s.parents[x.levels, tuple(x.path)])
         if x.kind == "subquery":
@@ -413,7 +416,7 @@ class Planner:
                 (w,) = self.prepare([step.where], s)
                 df = s.df.where(V.truthy(self.compile(w, s))).select(*[quoted(c) for c in df.columns])
             if not kind.directed:
-                back = df.withColumnsRenamed({"from": "to", "to": "from"})
+                back = df.select(*[(F.col({"from": "to", "to": "from"}.get(c, c)) if c in ("from", "to") else quoted(c)).alias(c) for c in df.columns])
                 df = df.unionByName(back).dropDuplicates(["id", "from", "to"])
             if step.label == "*":
                 df = df.select("id", "from", "to", F.lit(label).alias("label"))
@@ -457,27 +460,37 @@ class Planner:
         starts = s.df.select(F.col("id").alias("start")).where(F.col("id").isNotNull()).distinct()
         found = graph.traverse(starts, plan, by_edge, settled)
         if by_edge:
-            rows = self._edge_items(found, edge_fields, plan[-1].edges, name)
+            label = [st.label for st in steps if st.label in self.catalog.edges or st.label == "*"][-1]
+            rows = self._edge_items(found, edge_fields, sorted(self.catalog.edges) if label == "*" else [label])
         else:
             rows = self._node_items(found, target_fields, target, name)
         got = rows.groupBy("start").agg(F.collect_list("item").alias(name))
         s.df = s.df.join(got, s.df["id"] == got["start"], "left").drop("start").withColumn(name, F.coalesce(F.col(name), F.array().cast(got.schema[name].dataType)))
         return name
 
-    def _edge_items(self, found: DataFrame, fields: Any, edges: DataFrame, name: str) -> DataFrame:
+    def _edge_items(self, found: DataFrame, fields: Any, labels: list[str]) -> DataFrame:
         if fields is None or fields == "*":
             return found.select("start", F.col("edge").alias("item"))
         s = Scope(found.select("start", "edge.*"))
         for end in ("from", "to"):
             s.refs[(end,)] = frozenset(self.catalog.collections)
         need = [p for _, p in fields]
-        s.refs = {k: self._ends(found, k[0], v) for k, v in s.refs.items() if any(p[0] == k[0] and len(p) > 1 for p in need)}
+        known = [self.catalog.edges[x] for x in labels]
+        declared = all(k.ends is not None for k in known)
+
+        def ends(end: str, all_: frozenset[str]) -> frozenset[str]:
+            if not declared:
+                return self._ends(found, end, all_)
+            sides = {"from": {0}, "to": {1}}
+            return frozenset().union(*(k.ends[i] for k in known for i in (sides[end] if k.directed else {0, 1})))
+
+        s.refs = {k: ends(k[0], v) for k, v in s.refs.items() if any(p[0] == k[0] and len(p) > 1 for p in need)}
         nodes = self.prepare([Node("field", path=list(p)) for p in need], s)
         items = [("id", E(F.col("id"), V.STRING))] + [(a, self.compile(n, s)) for (a, _), n in zip(fields, nodes)]
         return s.df.select("start", V.obj(items).col.alias("item"))
 
     def _ends(self, found: DataFrame, end: str, all_: frozenset[str]) -> frozenset[str]:
-        """The collections that an end of the found edges refers to."""
+        """The collections that an end of the found edges refers to; a job, for kinds of edges whose ends aren't declared."""
         got = found.select(F.substring_index(F.col("edge").getField(end), ":", 1).alias("c")).where(F.col("c").isin(*sorted(all_))).distinct().collect()
         return frozenset(r["c"] for r in got) or all_
 
@@ -760,7 +773,9 @@ class Planner:
         index = c and (c.index("fulltext", tuple(fields)) or None)
         if index is None:
             raise LanguageError(f"full-text search on {', '.join(fields)} needs a FULLTEXT index")
-        name = dict(index.options).get("analyzer", "standard")
+        return self.analyzer(dict(index.options).get("analyzer", "standard"))
+
+    def analyzer(self, name: str) -> search.Analyzer:
         return self.catalog.analyzers.get(name) or builtin_analyzer(name)
 
     def _full_text(self, p: Node, s: Scope) -> DataFrame:
@@ -941,17 +956,28 @@ def aggregate(name: str, e: E | None, distinct: bool) -> Column:
     return F.sum_distinct(v) / F.countDistinct(v) if distinct else F.avg(v)
 
 
+_LANGUAGES = "arabic danish dutch english finnish french german greek hungarian italian norwegian portuguese romanian russian spanish swedish tamil turkish".split()
+BUILTIN_ANALYZERS = frozenset(["standard", "keyword", *_LANGUAGES])
+
+
 def builtin_analyzer(name: str) -> search.Analyzer:
     if name == "standard":
         return search.STANDARD
     if name == "keyword":
         return search.Analyzer(("keyword",), (("lowercase",),))
-    languages = "arabic danish dutch english finnish french german greek hungarian italian norwegian portuguese romanian russian spanish swedish tamil turkish".split()
-    if name in languages:
-        return search.Analyzer(("standard",), (("lowercase",), ("stemmer", name)))
+    if name in _LANGUAGES:
+        return supported(search.Analyzer(("standard",), (("lowercase",), ("stemmer", name))))
     raise LanguageError(f"unknown analyzer {name}")
 
 
+def supported(a: search.Analyzer) -> search.Analyzer:
+    """``a``, unless it asks for a stemmer that isn't there: unstemmed results would be wrong without a word."""
+    for f in a.filters:
+        if f[0] == "stemmer" and f[1] not in search.STEMMED:
+            raise LanguageError(f"there is no stemmer for {f[1]}; there is one for {', '.join(search.STEMMED)}")
+    return a
+
+
 def python(v: Any) -> Any:
     """A collected value as plain Python: rows as dicts."""
     from pyspark.sql import Row

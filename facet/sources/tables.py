@@ -75,6 +75,8 @@ def _borders(read):
     return n.select(F.concat_ws("-", ref("borders", "n_nationkey"), F.col("d").cast("string")).alias("id"), ref("nation", "n_nationkey").alias("from"), F.concat(F.lit("nation:"), ((F.col("n_nationkey") + F.col("d")) % 25).cast("string")).alias("to"), F.col("d").alias("weight"))
 
 
+#: The collections of both ends of each kind of edge.
+_ENDS = {"placed": ("customer", "orders"), "contains": ("orders", "part"), "supplied_by": ("part", "supplier"), "lives_in": ("customer", "nation"), "within": ("nation", "region"), "borders": ("nation", "nation")}
 _EDGES = {"placed": _placed, "contains": _contains, "supplied_by": _supplied_by, "lives_in": _lives_in, "within": _within, "borders": _borders}
 
 
@@ -87,7 +89,7 @@ def open_tables(spark: SparkSession, sf_dir: str, metric: str = "COSINE") -> Eng
             indexes = [Index("idx_embeddings", ("embedding",), "hnsw", (("dimension", 64), ("metric", metric)))]
         c.put(name, partial(collection, spark, sf_dir, name), {k: to for k, (to, _) in _REFS.get(name, {}).items()}, indexes, key=_KEYS[name][0] if len(_KEYS[name]) == 1 else None)
     for label, make in _EDGES.items():
-        c.put_edges(label, partial(make, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")), single=label != "contains")
+        c.put_edges(label, partial(make, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")), single=label != "contains", ends=tuple(frozenset([x]) for x in _ENDS[label]))
     return Engine(spark, c)
 
 

@@ -219,3 +219,51 @@ def test_json(e):
     back = untyped(t)
     assert back["big"] == row["big"] and back["payload"] == row["payload"] and back["list"] == [1, 2] and back["o"] == {"a": 1.5} and back["n"] is None
     assert plain(row)["ttl"] == {"_type": "duration", "nanos": 5_400_000_000_000} and plain(row)["price"] == 123.45
+
+
+def test_sessions_and_transactions(spark, e):
+    """A transaction's writes are its own until COMMIT, which fails where another session has changed the same."""
+    e.execute("DEFINE COLLECTION t; INSERT INTO t {id: 'a', n: 1}; DEFINE COLLECTION u; INSERT INTO u {id: 'a', n: 1}")
+    other = Engine(spark, e.catalog)
+    e.execute("BEGIN; UPDATE t SET n = 5")
+    assert e.collect("SELECT VALUE n FROM t") == [5] and other.collect("SELECT VALUE n FROM t") == [1]
+    other.execute("UPDATE u SET n = 3")
+    e.execute("COMMIT")
+    assert other.collect("SELECT VALUE n FROM t") == [5] and e.collect("SELECT VALUE n FROM u") == [3]
+    e.execute("BEGIN; UPDATE t SET n = 6")
+    other.execute("UPDATE t SET n = 7")
+    with pytest.raises(LanguageError, match="conflict"):
+        e.execute("COMMIT")
+    assert e.collect("SELECT VALUE n FROM t") == [7] and other.collect("SELECT VALUE n FROM t") == [7]
+    e.execute("BEGIN; UPDATE t SET n = 8")
+    other.execute("UPDATE u SET n = 4")
+    e.execute("ROLLBACK")  # undoes nothing of others
+    assert e.collect("SELECT VALUE n FROM u") == [4] and e.collect("SELECT VALUE n FROM t") == [7]
+
+
+def test_analyzer_guards(e):
+    e.execute("DEFINE COLLECTION d; DEFINE ANALYZER own TOKENIZER whitespace FILTERS [lowercase]; CREATE INDEX ON d(a) FULLTEXT ANALYZER own")
+    for bad in ("CREATE INDEX ON d(b) FULLTEXT ANALYZER nonexistent", "DROP ANALYZER standard", "DROP ANALYZER own", "DEFINE ANALYZER english TOKENIZER standard FILTERS [lowercase]", "CREATE INDEX ON d(c) FULLTEXT ANALYZER russian", "CREATE INDEX ON d(c) ANALYZER english"):
+        with pytest.raises((LanguageError, ValueError)):
+            e.execute(bad)
+    e.execute("CREATE INDEX ON d(c) FULLTEXT ANALYZER english")
+
+
+def test_policies_hold_for_statements(e):
+    e.execute("""DEFINE COLLECTION docs; DEFINE COLLECTION refs; INSERT INTO refs {id: 'r', v: 1}; INSERT INTO docs {id: 'a', n: 1, r: refs:r}; CREATE USER 'ann' PASSWORD 'pw';
+        CREATE POLICY p WHEN user.name = 'ann' AND action IN ('select', 'insert') AND collection.name = 'docs' ALLOW""")
+    ann = e.session("ann", "pw")
+    assert ann.collect("SELECT VALUE n FROM docs") == [1]
+    ann.execute("INSERT INTO docs {id: 'b', n: 2}")
+    for bad in ("UPDATE docs SET n = 3", "DELETE docs", "SELECT * FROM refs", "SELECT r.v AS v FROM docs", "DROP COLLECTION docs", "CREATE USER 'x' PASSWORD 'y'", "SELECT * FROM [1] WHERE 1 IN (SELECT VALUE v FROM refs)"):
+        with pytest.raises(LanguageError, match="may not"):
+            ann.query(bad)
+    with pytest.raises(LanguageError):
+        e.session("ann", "no")
+    assert e.collect("SELECT VALUE n FROM docs ORDER n") == [1, 2]
+
+
+def test_first_of_a_subquery_is_limited(people):
+    df = people.query("SELECT name, (SELECT VALUE name FROM users ORDER age)[0] AS least FROM users")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" in plan and len({r["least"] for r in df.collect()}) == 1

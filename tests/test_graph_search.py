@@ -138,3 +138,24 @@ def test_rrf(spark):
     rows = e.collect("SELECT id, a, _rrf_score AS s FROM search::rrf([(SELECT * FROM [{id: 'x', a: 1}, {id: 'y', a: 2}]), (SELECT * FROM [{id: 'y', a: 9}, {id: 'z', a: 3}])], 10, 60)")
     assert [(r["id"], r["a"]) for r in rows] == [("y", 2), ("x", 1), ("z", 3)]
     assert abs(rows[0]["s"] - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_undirected_edges_are_walked_both_ways(spark):
+    e = Engine(spark)
+    e.execute("DEFINE COLLECTION u; INSERT INTO u {id: 'a', n: 1}, {id: 'b', n: 2}, {id: 'c', n: 3}")
+    e.define_edges("pal", directed=False)
+    e.execute("RELATE u:b->pal->u:a SET w = 5; RELATE u:b->pal->u:c SET w = 6")
+    walk = lambda q: sorted(x["n"] for x in e.collect(q)[0]["x"])
+    assert walk("SELECT ->pal->u.{n} AS x FROM u:a") == [2] and walk("SELECT <-pal<-u.{n} AS x FROM u:b") == [1, 3]
+    assert walk("SELECT ->pal{2}->u.{n} AS x FROM u:a") == [3]
+    assert sorted(x["w"] for x in e.collect("SELECT ->pal.{w, n: to.n} AS x FROM u:b")[0]["x"]) == [5, 6]
+
+
+def test_ranks_of_long_lists(spark, monkeypatch):
+    from facet.operators import search
+
+    lists = [spark.createDataFrame([(f"d{i}", (i * k) % 101) for i in range(100)], "id string, o long") for k in (7, 13)]
+    run = lambda: [tuple(r) for r in search.rrf([(d, [F.col("o"), F.col("id")]) for d in lists], 12).select("id", "_rrf_score").collect()]
+    want = run()
+    monkeypatch.setattr(search, "ONE_TASK", 0)
+    assert run() == want and len(want) == 12
