@@ -234,11 +234,15 @@ class Engine:
         else:
             q = Node("select", distinct=False, value=False, items=[Node("star")], source=Node("from_collection", collection=n.statement.collection, key=n.statement.key, path=[], posts=[]), where=n.statement.where, group=[], order=[], limit=None, offset=None, fetch=[])
             df = self._select(q)
-        text = self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        run = df._jdf.queryExecution()
         if n.analyze:
             began = time.perf_counter()
-            rows = df.count()
-            text = f"rows: {rows}, time: {(time.perf_counter() - began) * 1000:.1f} ms\n{text}"
+            with self.limited():
+                rows = run.toRdd().count()
+            taken = (time.perf_counter() - began) * 1000
+            text = "\n".join([f"rows: {rows}, time: {taken:.1f} ms", *_measured(run.executedPlan())])
+        else:
+            text = self.spark._jvm.PythonSQLUtils.explainString(run, "formatted")
         return self.spark.range(1).select(F.lit(text).alias("plan"))
 
     def _begin(self, n: Node) -> None:
@@ -400,6 +404,8 @@ class Engine:
         for i in c.indexes:
             if i.form == "unique":
                 dml.unique(df, i.fields)
+            if i.form == "hnsw":
+                dml.dimension(df, i.fields[0], dict(i.options).get("dimension"))
         own = {k: c.refs.get(k, frozenset()) | (refs or {}).get(k, frozenset()) for k in {*c.refs, *(refs or {})}}
         self.catalog.change(collection, df=df, refs=own)
 
@@ -669,6 +675,33 @@ class Engine:
         return any(p.allow for p in met) and all(p.allow for p in met)
 
 
+def _measured(plan: Any, depth: int = 0) -> Iterator[str]:
+    """A line for each operator of a physical plan that has run: its name, the rows it gave, the time it took."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _measured(plan.executedPlan(), depth)
+        return
+    if kind.endswith("QueryStageExec"):
+        yield from _measured(plan.plan(), depth)
+        return
+    below = depth
+    if kind not in ("WholeStageCodegenExec", "InputAdapter"):
+        below = depth + 1
+        found, each = {}, plan.metrics().iterator()
+        while each.hasNext():
+            pair = each.next()
+            found[pair._1()] = (pair._2().metricType(), pair._2().value())
+        rows = found.get("numOutputRows", (None, None))[1]
+        millis = sum(v / (1e6 if t == "nsTiming" else 1) for t, v in found.values() if t in ("timing", "nsTiming") and v > 0)
+        parts = [plan.nodeName().strip(), *([f"rows {rows}"] if rows is not None else []), *([f"{millis:.1f} ms in all tasks"] if millis else [])]
+        yield "  " * depth + ", ".join(parts)
+    if kind == "ReusedExchangeExec":
+        return
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _measured(children.apply(i), below)
+
+
 #: Statements that write, and the action that policies know them by.
 _WRITES = {"insert": "insert", "create": "insert", "upsert": "update", "update": "update", "delete": "delete", "relate": "insert", "delete_edge": "delete"}
 

@@ -197,6 +197,15 @@ def validate(df: DataFrame, fields: Iterable[dict], strict: bool) -> None:
         raise LanguageError(f"a required field is missing or a reference points elsewhere ({', '.join(dict.fromkeys(told))})")
 
 
+def dimension(df: DataFrame, field: str, size: int | None) -> None:
+    """Fail if a vector has not the number of entries that its index was made for."""
+    kind = next((f.dataType for f in df.schema.fields if f.name == field), None)
+    if size is None or kind is None or isinstance(kind, T.NullType):
+        return
+    if not isinstance(kind, T.ArrayType) or df.where(F.size(F.col(f"`{field}`")) != size).limit(1).count():
+        raise LanguageError(f"{field} has to have {size} entries")
+
+
 def unique(df: DataFrame, fields: Iterable[str]) -> None:
     """Raise if two rows agree in all of the fields (none of them null)."""
     cols = [F.col(f) for f in fields]

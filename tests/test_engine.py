@@ -267,3 +267,19 @@ def test_first_of_a_subquery_is_limited(people):
     df = people.query("SELECT name, (SELECT VALUE name FROM users ORDER age)[0] AS least FROM users")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" in plan and len({r["least"] for r in df.collect()}) == 1
+
+
+def test_explain_analyze_measures_each_operator(people):
+    plan = people.collect("EXPLAIN ANALYZE SELECT age, COUNT(*) AS n FROM users WHERE age > 3 GROUP age")[0]["plan"]
+    lines = plan.split("\n")
+    assert lines[0].startswith("rows: ") and any("HashAggregate" in x and "rows" in x for x in lines) and any("Exchange" in x and "ms" in x for x in lines)
+    assert "Filter" in people.collect("EXPLAIN ANALYZE DELETE users WHERE age > 3")[0]["plan"] and people.collect("SELECT COUNT(*) AS n FROM users")[0]["n"] == 3
+
+
+def test_vectors_have_the_dimension_of_their_index(e):
+    e.execute("DEFINE COLLECTION v; CREATE INDEX ON v(x) HNSW DIMENSION 2 DIST COSINE; INSERT INTO v {id: 'a', x: [1.0, 2.0]}, {id: 'b'}")
+    with pytest.raises(LanguageError, match="2 entries"):
+        e.execute("INSERT INTO v {id: 'c', x: [1.0, 2.0, 3.0]}")
+    with pytest.raises(LanguageError, match="2 entries"):
+        e.execute("UPDATE v SET x = [1.0] WHERE x IS NOT NULL")
+    assert e.collect("SELECT COUNT(*) AS n FROM v")[0]["n"] == 2
