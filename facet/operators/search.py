@@ -61,9 +61,13 @@ class Analyzer:
             t = F.filter(F.array(c), lambda x: x != "")
         elif form == "ngram":
             low, high = self.tokenizer[1:]
-            n = F.length(c)
-            pieces = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, F.lit(k)))
-            t = F.concat(*[F.when(n >= k, pieces(k)).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)])
+
+            def pieces(chars: Column) -> Column:
+                some = lambda k: F.transform(F.slice(chars, F.lit(1), F.size(chars) - (k - 1)), lambda x, i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
+                return F.concat(*[F.when(F.size(chars) >= k, some(k)).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)])
+
+            # characters are taken apart once: a substring by place would walk the text from its start each time
+            t = F.get(F.transform(F.array(F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))), pieces), F.lit(0))
         else:
             raise ValueError(f"unknown tokenizer {form}")
         if "stopwords" in own:
