@@ -8,7 +8,7 @@ held to one fixed threshold: below it a text looks less like trusted ones than l
 
 N-grams are single words as they stand, and pairs of neighbouring shapes.  A shape is a word in which runs of four letters or
 more become one sign (one for capitals, one for others) and runs of digits another, so that a pair tells how a text is
-built: its short function words, punctuation and marks.  (README: held-out figures of words alone, shapes alone, both.)
+built: its short function words, punctuation and marks.  (README: figures of words, shapes and both.)
 
 The threshold is fixed, and so is the weight of the prior: with few trusted n-grams no ratio can fall below the threshold, and
 nothing is rejected beyond the base rules (below some 4,650) or only what is far off.
