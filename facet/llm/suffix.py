@@ -11,7 +11,11 @@ equal buckets, and neighbouring windows mostly share one, so a run of windows tr
    same collapse to the earliest, first within each batch, so that a passage which a third of
    all documents share sends a row a batch, then in the bucket; the later ones go as they are.
 2. Buckets with different runs (or a run that repeats its bucket's string inside) are sorted: their bytes are
-   fetched, and each task sorts one block of buckets at a time.
+   fetched, and each task sorts one block of buckets at a time.  Unrelated texts share a bucket by chance, the more
+   the larger the table is, so a run is left out if it can't have a window in common with another: windows of one
+   bucket are equal only if its string lies at the same place in them, and all that have it in the same third of
+   the places hold the same CORE bytes around it.  A run's row bears a hash for each third that it has windows in,
+   and a run that shares none of these with another run of its bucket has no repeated window.
    The windows of a bucket that very many different runs share (the edges of a passage in a third of
    all documents) travel one by one in finer buckets instead, equal ones of a batch collapsed.
 3. Sorting a block: windows are ordered by their first ``PERIOD`` bytes, a range of first words at a
@@ -53,6 +57,10 @@ _BLOCK = 1 << 21  # bytes of runs sorted together
 _PASS = 1 << 20  # windows sorted together
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = 22  # bits of a place in a slice
+_THIRDS = 3
+_WIDE = -(-(LENGTH - GRAM + 1) // _THIRDS)  # places of a bucket's string in a window that count as one third
+CORE = LENGTH - _WIDE + 1
+_BITS = 21  # of a core's hash
 _ALL, _SORT, _HOT = 1, 2, 3
 _HELD = 1 << 18  # rows of runs looked at together
 _CROWD = 20_000  # different runs of a bucket from which its windows travel one by one
@@ -61,24 +69,41 @@ _CROWD = 20_000  # different runs of a bucket from which its windows travel one
 # ---- 1. runs of windows
 
 
-def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """By place: a hash (its low _PLACE bits free) of the GRAM bytes from there on."""
-    base, width = 0x100000001B3, 1
-    h, at, need = b.astype(np.uint64) + np.uint64(1), 0, GRAM
-    out = None
-    while need:
-        if need & 1:
-            part = h[at : at + len(b) - GRAM + 1]
-            out = part if out is None else out * np.uint64(base) + part
-            at += width
-        need >>= 1
-        if need:
-            h = h[:-width] * np.uint64(base) + h[width:]
-            base = base * base & 0xFFFFFFFFFFFFFFFF
-            width *= 2
+def _powers(b: np.ndarray) -> list[tuple[np.ndarray, np.uint64]]:
+    """By k, up to the highest bit of CORE: by place a raw hash of the 2**k bytes from there on, and the factor that a hash is moved up by before one of them is added."""
+    base = 0x100000001B3
+    out = [(b.astype(np.uint64) + np.uint64(1), np.uint64(base))]
+    while 2 << len(out) - 1 <= CORE:
+        h, width = out[-1][0], 1 << len(out) - 1
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base = base * base & 0xFFFFFFFFFFFFFFFF
+        out.append((h, np.uint64(base)))
+    return out
+
+
+def _hashes(powers: list[tuple[np.ndarray, np.uint64]], size: int, places: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the ``size`` bytes from each of ``places`` on, or from every place."""
+    out, at = None, 0
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            h, base = powers[k]
+            part = h[at : at + len(powers[0][0]) - size + 1] if places is None else h[places + at]
+            out = part if out is None else out * base + part
+            at += 1 << k
     out = (out ^ (out >> np.uint64(29))) * _ODD
-    out = (out ^ (out >> np.uint64(32))) * _ODD
-    return out & ~np.uint64((1 << _PLACE) - 1)
+    return (out ^ (out >> np.uint64(32))) * _ODD
+
+
+def _cores(powers: list[tuple[np.ndarray, np.uint64]], m: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For runs of the windows ``first`` to ``end`` with their bucket's string at ``m``: _BITS bits for each third, 0 where they have no window in it."""
+    out = np.zeros(len(m), np.int64)
+    for j in range(_THIRDS):
+        a = j * _WIDE
+        z = min(a + _WIDE, LENGTH - GRAM + 1) - 1
+        has = np.flatnonzero((m - first >= a) & (m - end <= z))
+        core = _hashes(powers, CORE, m[has] - a)
+        out[has] |= np.maximum((core >> np.uint64(64 - _BITS)).astype(np.int64), 1) << j * _BITS
+    return out
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,8 +118,8 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], ords: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(bucket, hash, ord, start, windows, repeats) of all runs of windows; repeats: its bucket's string occurs in it twice or more."""
-    found: list[list[np.ndarray]] = [[] for _ in range(6)]
+    """(bucket, hash, ord, start, windows, repeats, cores) of all runs of windows; repeats: its bucket's string occurs in it twice or more."""
+    found: list[list[np.ndarray]] = [[] for _ in range(7)]
     held: list[tuple[int, int, bytes]] = []
     room = 0
 
@@ -103,7 +128,8 @@ def runs(texts: list[bytes], ords: np.ndarray) -> tuple[np.ndarray, ...]:
         data = b"".join(x[2] for x in held)
         if held and len(data) >= LENGTH:
             b = np.frombuffer(data, np.uint8)
-            g = _gram_hashes(b)
+            powers = _powers(b)
+            g = _hashes(powers, GRAM) & ~np.uint64((1 << _PLACE) - 1)
             place = np.arange(len(g), dtype=np.uint64)
             low = _least(g | place, LENGTH - GRAM + 1)
             last = np.uint64((1 << _PLACE) - 1)
@@ -122,12 +148,13 @@ def runs(texts: list[bytes], ords: np.ndarray) -> tuple[np.ndarray, ...]:
                 at = np.flatnonzero(new)
                 count = np.diff(np.append(at, len(p)))
                 first, end = p[at], p[at] + count - 1
-                twice = (low[first] & last) != last - (high[end] & last)
+                m = (low[first] & last).astype(np.int64)
+                twice = m != (last - (high[end] & last)).astype(np.int64)
                 view, h = memoryview(data), xxhash.xxh3_64_intdigest
                 digest = np.array([h(view[a : z + LENGTH]) for a, z in zip(first.tolist(), end.tolist())], np.uint64)
                 own = np.array([x[0] for x in held])[doc[at]]
                 start = first - begins[doc[at]] + np.array([x[1] for x in held])[doc[at]]
-                for f, v in zip(found, (bucket[at].astype(np.int64), digest.view(np.int64), own, start, count, twice)):
+                for f, v in zip(found, (bucket[at].astype(np.int64), digest.view(np.int64), own, start, count, twice, _cores(powers, m, first, end))):
                     f.append(v)
         held.clear()
         room = 0
@@ -142,7 +169,7 @@ def runs(texts: list[bytes], ords: np.ndarray) -> tuple[np.ndarray, ...]:
             held.append((o, a, piece))
             room += len(piece)
     flush()
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, bool)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, bool, np.int64)
     return tuple(np.concatenate(f) if f else np.zeros(0, k) for f, k in zip(found, kinds))
 
 
@@ -154,26 +181,49 @@ def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for lo in range(0, len(b), 2048):
             part = b.iloc[lo : lo + 2048]
-            bucket, digest, own, start, count, twice = runs([x or b"" for x in part["t"]], part["ord"].to_numpy(np.int64))
+            bucket, digest, own, start, count, twice, cores = runs([x or b"" for x in part["t"]], part["ord"].to_numpy(np.int64))
             by = np.lexsort((start, own, digest, bucket))
             later = np.zeros(len(by), bool)
             later[1:] = (bucket[by[1:]] == bucket[by[:-1]]) & (digest[by[1:]] == digest[by[:-1]])
             late = np.zeros(len(by), bool)
             late[by] = later
             # a later run is decided; it only passes through, spread evenly
-            yield pd.DataFrame({"h": np.where(late, own ^ start, bucket), "d": digest, "ord": own, "at": _pack(start, count, np.where(late, _ALL, np.where(twice, _SORT, 0)))})
+            yield pd.DataFrame({"h": np.where(late, own ^ start, bucket), "d": digest, "ord": own, "at": _pack(start, count, np.where(late, _ALL, np.where(twice, _SORT, 0))), "c": np.where(late, 0, cores)})
+
+
+def _shared(bucket: np.ndarray, cores: np.ndarray) -> np.ndarray:
+    """For each run: does another one of its bucket (a number below 2**40) have one of its cores?"""
+    out = np.zeros(len(bucket), bool)
+    for j in range(_THIRDS):
+        core = cores >> j * _BITS & (1 << _BITS) - 1
+        has = np.flatnonzero(core)
+        key = bucket[has] << _BITS | core[has]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        out[has[by[1:][same]]] = True
+        out[has[by[:-1][same]]] = True
+    return out
 
 
 def _decided(x: np.ndarray, crowded: int | None) -> pd.DataFrame:
-    """Whole buckets of runs (h, d, ord, at), sorted: later copies of a run go whole (_ALL), the rest is sorted where it must be (_SORT, _HOT)."""
-    h, d, _, at = x.T
+    """Whole buckets of runs (h, d, ord, at, c), sorted: later copies of a run go whole (_ALL), the rest is sorted where it must be (_SORT, _HOT)."""
+    h, d, _, at, c = x.T
     new_bucket = np.append(True, h[1:] != h[:-1])
     new_run = np.append(True, d[1:] != d[:-1]) | new_bucket
     begins = np.flatnonzero(new_bucket)
-    kinds = np.repeat(np.add.reduceat(new_run.astype(np.int64), begins), np.diff(np.append(begins, len(h))))
+    bucket = np.cumsum(new_bucket) - 1
+    kinds = np.add.reduceat(new_run.astype(np.int64), begins)
+    # where a run has the bucket's string twice, its windows have it at several places, and cores tell nothing
+    anyhow = np.logical_or.reduceat(at & 3 == _SORT, begins)
+    if crowded is not None:
+        anyhow |= h[begins] == crowded
+    sort = new_run & anyhow[bucket]
+    ask = np.flatnonzero(new_run & ((kinds > 1) & ~anyhow)[bucket])
+    sort[ask] = _shared(bucket[ask], c[ask])
+    kinds = np.add.reduceat(sort.astype(np.int64), begins)
     if crowded is not None:
-        kinds[h == crowded] = _CROWD + 2
-    sort = new_run & ((kinds > 1) | (at & 3 == _SORT))
+        kinds[h[begins] == crowded] = _CROWD + 2
+    kinds = kinds[bucket]
     out = sort | ~new_run
     x, sort, kinds = x[out], sort[out], kinds[out]
     return _frame(x, np.where(sort, np.where(kinds > _CROWD, _HOT, _SORT), _ALL))
@@ -184,12 +234,12 @@ def _frame(x: np.ndarray, flags: np.ndarray | int) -> pd.DataFrame:
 
 
 def _sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (h, d, ord, at) in that order to what is to be done with them; at most _HELD rows are held, whatever a bucket's size."""
-    rest = np.zeros((0, 4), np.int64)
+    """Rows (h, d, ord, at, c) in that order to what is to be done with them; at most _HELD rows are held, whatever a bucket's size."""
+    rest = np.zeros((0, 5), np.int64)
     crowded = None
     for b in itertools.chain(batches, [None]):
         if b is not None:
-            x = np.column_stack([b[c].to_numpy(np.int64) for c in ("h", "d", "ord", "at")])
+            x = np.column_stack([b[c].to_numpy(np.int64) for c in ("h", "d", "ord", "at", "c")])
             whole = x[:, 3] & 3 == _ALL
             if whole.any():
                 yield _frame(x[whole], _ALL)
@@ -460,7 +510,7 @@ def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (the bytes to remove, end exclusive)."""
     rows = ordered(docs, id_col, text_col)
-    made = rows.select("ord", "t").mapInPandas(_run_rows, "h bigint, d bigint, ord bigint, at bigint")
+    made = rows.select("ord", "t").mapInPandas(_run_rows, "h bigint, d bigint, ord bigint, at bigint, c bigint")
     sifted = durable(made.repartition("h").sortWithinPartitions("h", "d", "ord", "at").mapInPandas(_sifted, "h bigint, ord bigint, at bigint"))
     kind = F.col("at").bitwiseAND(3)
     # Both joins below read the same columns of the same rows, so that the texts are shuffled once.

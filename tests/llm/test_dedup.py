@@ -209,5 +209,30 @@ def test_crowded_buckets():
             assert (gone == want[i]).all()
 
 
+def test_runs_that_share_no_window_are_not_sorted():
+    """Texts that only share strings too short for a window send nothing to the sort; of those that share windows, the right bytes go."""
+    import pandas as pd
+
+    rng = random.Random(11)
+    noise = lambda n: bytes(rng.choices(b"abcdefghijklmnop ", k=n))
+    sifted = lambda texts: pd.concat(suffix._sift(suffix._run_rows(iter([pd.DataFrame({"t": texts, "ord": range(len(texts))})]))))
+    for n in (30, 50, 70):  # at all places a bucket's string can have in a window
+        shared = [noise(n) for _ in range(20)]
+        assert len(sifted([noise(150) + x + noise(150) for x in shared for _ in range(6)])) == 0
+    for _ in range(60):
+        x = noise(rng.randrange(95, 190))
+        texts = [noise(rng.randrange(150)) + x + noise(rng.randrange(150)) for _ in range(3)] + [noise(80) + x[:99] + noise(80), x[:50] * 5 + x]
+        b = sifted(texts)
+        found = [(r.ord, r.at >> 16, r.at >> 2 & 0x3FFF) for r in b[b["at"] & 3 == 1].itertuples()]
+        rest = [(o, texts[o], [{"h": r.h, "at": r.at} for r in g.itertuples()]) for o, g in b[b["at"] & 3 != 1].groupby("ord")]
+        pieces = pd.concat([pd.DataFrame({"h": [], "b": []}), *suffix._fetched(iter([pd.DataFrame(rest, columns=["ord", "t", "places"])]))]).sort_values("h")
+        found += [(r.ord, r.start, r.n) for y in suffix._sorted_runs(iter([pieces] if len(pieces) else [])) for r in y.itertuples()]
+        for i, (t, want) in enumerate(zip(texts, brute_removed(texts))):
+            gone = np.zeros(len(t), bool)
+            for s, e in suffix.merged([(s, n) for o, s, n in found if o == i]):
+                gone[s:e] = True
+            assert (gone == want).all()
+
+
 def test_spans_of_nothing(spark):
     assert repeated_spans(docs(spark, [])).count() == 0
