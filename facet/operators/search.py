@@ -8,11 +8,15 @@ exploded, and no posting list is shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,6 +210,110 @@ def _stem_all():
     return run
 
 
+# ---- counts of terms
+
+AT_ONCE = 1 << 18  # terms, or characters of n-grams, that are counted together; a longer text is counted alone
+
+
+def term_counts(df: DataFrame, key: str, text: str, analyzer: Analyzer = STANDARD) -> DataFrame:
+    """How often each term occurs in the texts of each key: (key, term, n).
+
+    A text's terms are counted where it is read, so no terms are shuffled but those of keys that several rows
+    have.  Which keys those are is found by a job of its own, over the keys alone.
+    """
+    low, high = analyzer.tokenizer[1:] if analyzer.tokenizer[0] == "ngram" else (0, 0)
+    grams = 0 < low <= high and not {f[0] for f in analyzer.filters} - {"lowercase", "ascii_folding"}
+    counted = _counted(_gram_counts(low, high) if grams else _list_counts, grams)
+    cut = df.select(F.col(key), (analyzer.smooth(F.col(text)) if grams else analyzer.terms(F.col(text))).alias("__t"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    again = df.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__again")
+    several = again.count()
+    if not several:
+        return cut.mapInArrow(counted, schema)
+    again = F.broadcast(again) if several <= ONE_TASK else again
+    same = cut[key].eqNullSafe(again["__again"])
+    parts = cut.join(again, same, "left_semi").mapInArrow(counted, schema)
+    return cut.join(again, same, "left_anti").mapInArrow(counted, schema).unionByName(parts.groupBy(key, "term").agg(F.sum("n").alias("n")))
+
+
+#: Of rows: the row, the term and the number of each term of each row, in pieces.
+_Counts = Callable[[pa.Array], Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]]
+
+
+def _counted(counts: _Counts, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.columns
+            sizes = (pc.binary_length(values) if texts else pc.list_value_length(values)).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            a = 0
+            while a < len(values):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+                for row, terms, n in counts(values.slice(a, z - a)):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + a)), terms, pa.array(n)], [batch.schema.names[0], "term", "n"])
+                a = z
+
+    return run
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different keys and how often each occurs, in pieces."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    n = np.diff(starts, append=len(keys))
+    for a in range(0, len(starts), AT_ONCE):
+        yield keys[starts[a : a + AT_ONCE]], n[a : a + AT_ONCE]
+
+
+def _list_counts(lists: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    coded = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    size = max(1, len(coded.dictionary))
+    for keys, n in _runs(row * size + coded.indices.to_numpy(zero_copy_only=False)):
+        yield keys // size, coded.dictionary.take(pa.array(keys % size)), n
+
+
+def _strings(chars: np.ndarray) -> pa.Array:
+    """The rows of code points as strings."""
+    widths = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+    offsets = np.concatenate([[0], np.cumsum(widths.sum(axis=1))]).astype(np.int32)
+    data = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(chars), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _gram_counts(low: int, high: int) -> _Counts:
+    def run(values: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        texts = [b.decode("utf-8", "replace") for b in values.cast(pa.binary()).to_pylist()]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        alphabet = np.unique(chars)
+        codes = np.searchsorted(alphabet, chars)
+        size = max(1, len(alphabet))
+        for k in range(low, high + 1):
+            if len(texts) * size**k >= 1 << 63:
+                yield from _long_grams(texts, k)
+                continue
+            last = max(0, len(chars) - k + 1)
+            keys = row[:last]
+            for j in range(k):
+                keys = keys * size + codes[j : j + last]
+            for keys, n in _runs(keys[row[:last] == row[k - 1 :]]):
+                piece = np.empty((len(keys), k), np.uint32)
+                for j in reversed(range(k)):
+                    keys, at = np.divmod(keys, size)
+                    piece[:, j] = alphabet[at]
+                yield keys, _strings(piece), n
+
+    return run
+
+
+def _long_grams(texts: list[str], k: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """N-grams that with their row don't fit into 63 bits."""
+    for i, t in enumerate(texts):
+        if found := Counter(t[j : j + k] for j in range(len(t) - k + 1)):
+            yield np.full(len(found), i), pa.array(found.keys(), pa.string()), np.fromiter(found.values(), np.int64, len(found))
+
+
 # ---- BM25
 
 

@@ -251,8 +251,7 @@ q("fts_match_boost", "SELECT p_partkey, fts::score() AS score FROM part WHERE MA
 def _tokens(name: str, analyzer: Analyzer, sql: str) -> None:
     @direct(name, f"WITH t AS (SELECT doc_id, unnest({sql}) AS term FROM documents) SELECT doc_id, term, count(*) AS n FROM t GROUP BY 1, 2")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = read(spark, sf_dir, "documents").select("doc_id", F.explode(analyzer.terms(F.col("text"))).alias("term"))
-        return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        return search.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text", analyzer)
 
 
 _tokens("tokenizer_standard", Analyzer(), _TERMS)
