@@ -458,7 +458,7 @@ class Planner:
         if "id" not in s.df.columns:
             raise LanguageError("a traversal starts from documents")
         starts = s.df.select(F.col("id").alias("start")).where(F.col("id").isNotNull()).distinct()
-        found = graph.traverse(starts, plan, by_edge, settled)
+        found = graph.traverse(starts, plan, by_edge, settled, self._edge_columns(plan[-1].edges, edge_fields) if by_edge else ())
         if by_edge:
             label = [st.label for st in steps if st.label in self.catalog.edges or st.label == "*"][-1]
             rows = self._edge_items(found, edge_fields, sorted(self.catalog.edges) if label == "*" else [label])
@@ -468,6 +468,13 @@ class Planner:
         s.df = s.df.join(got, s.df["id"] == got["start"], "left").drop("start").withColumn(name, F.coalesce(F.col(name), F.array().cast(got.schema[name].dataType)))
         return name
 
+    def _edge_columns(self, edges: DataFrame, fields: Any) -> list[str] | None:
+        """The columns that the fields taken from edges need, None for all."""
+        if fields is None or fields == "*":
+            return None
+        heads = {p[0].lower() for _, p in fields}
+        return [c for c in edges.columns if c.lower() in heads or c.startswith("__")]
+
     def _edge_items(self, found: DataFrame, fields: Any, labels: list[str]) -> DataFrame:
         if fields is None or fields == "*":
             return found.select("start", F.col("edge").alias("item"))
