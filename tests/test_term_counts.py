@@ -46,7 +46,7 @@ def test_many_repeated_keys_are_joined_by_a_shuffle(spark, monkeypatch):
     assert counts(search.term_counts(df, "k", "body")) == {(1, "a"): 1, (1, "b"): 2, (1, "c"): 1, (2, "a"): 1, (None, "z"): 2}
 
 
-@pytest.mark.parametrize("name", ["tokenizer_ngram"])
+@pytest.mark.parametrize("name", ["tokenizer_standard", "tokenizer_whitespace", "tokenizer_pattern", "tokenizer_ngram"])
 def test_terms_of_different_documents_are_not_shuffled(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
